@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, url_filter
+from . import chat, decontaminate, simhash, substring, url_filter
 
-QUERIES = {f.__name__: f for f in (decontaminate.op6_benchmark_decontamination, chat.op7_chat_formatting, url_filter.op9_url_filters)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        simhash.op4_simhash_near_dedup,
+        decontaminate.op6_benchmark_decontamination,
+        chat.op7_chat_formatting,
+        substring.op8_substring_dedup,
+        url_filter.op9_url_filters,
+    )
+}
 SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL}
