@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, simhash, substring, url_filter
+from . import chat, decontaminate, langid, packing, simhash, substring, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        langid.op2_language_id,
+        packing.op3_best_fit_packing,
         simhash.op4_simhash_near_dedup,
         decontaminate.op6_benchmark_decontamination,
         chat.op7_chat_formatting,
