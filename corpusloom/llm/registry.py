@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, packing, simhash, substring, url_filter
+from . import chat, decontaminate, langid, packing, quality, simhash, substring, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +14,7 @@ QUERIES = {
         chat.op7_chat_formatting,
         substring.op8_substring_dedup,
         url_filter.op9_url_filters,
+        quality.op10_quality_rules,
     )
 }
 SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL}
