@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, packing, quality, simhash, substring, url_filter
+from . import chat, decontaminate, langid, licenses, lm, packing, quality, simhash, substring, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        licenses.op1_license_scans,
         langid.op2_language_id,
         packing.op3_best_fit_packing,
         simhash.op4_simhash_near_dedup,
+        lm.op5_lm_scoring,
         decontaminate.op6_benchmark_decontamination,
         chat.op7_chat_formatting,
         substring.op8_substring_dedup,
