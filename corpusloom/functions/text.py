@@ -170,12 +170,9 @@ def script_counts(c: Column) -> dict[str, Column]:
 
 def main_script(c: Column) -> Column:
     """The script with most characters, the first listed of equals; null without any."""
-    counts = script_counts(c)
-    best = F.greatest(*counts.values())
-    out = F.when(best == 0, None)
-    for name, n in counts.items():
-        out = out.when(n == best, name)
-    return out
+    ranked = [F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, n) in enumerate(script_counts(c).items())]
+    best = F.array_max(F.array(*ranked))
+    return F.when(best["n"] > 0, best["name"])
 
 
 def first_script(c: Column) -> Column:

@@ -340,9 +340,9 @@ def sink_upsert_coalesce(t: Tables) -> DataFrame:
     return ops.upsert_coalesce(t.customer.select("c_custkey", "c_acctbal", "c_mktsegment"), new, ["c_custkey"])
 
 
-@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 40) GROUP BY 1")
+@query("SELECT user_id, min(event_id) AS event_id FROM events WHERE event_type = 'purchase' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'error' AND value > 150) GROUP BY 1")
 def sink_insert_ignore(t: Tables) -> DataFrame:
-    return ops.insert_ignore(t.events.where("event_type = 'purchase'").select("user_id", "event_id"), t.events.where("event_type = 'signup' and value > 40"), ["user_id"])
+    return ops.insert_ignore(t.events.where("event_type = 'purchase'").select("user_id", "event_id"), t.events.where("event_type = 'error' and value > 150"), ["user_id"])
 
 
 @query("SELECT DISTINCT p_name AS name, coalesce(CAST(k AS VARCHAR), sha256(p_name)) AS id, k IS NULL AS created FROM part LEFT JOIN (SELECT p_name AS kn, min(p_partkey) AS k FROM part WHERE p_size > 48 GROUP BY 1) ON kn = p_name")
