@@ -6,9 +6,11 @@ t_1, t_2, ... (-1: unused) with sum(t_i + 1) = r + 1, some part differs in at mo
 the thresholds with the fewest expected probes and candidates. Each fingerprint is stored under its value in a part and
 probes all values within that part's threshold; candidates are verified on all 64 bits.
 
-A bucket with over MOST fingerprints isn't paired off, as its pairs grow with its square. There each fingerprint goes to
-the points within two flips (outside the part) and links, at every point, to one fingerprint within one flip of it. Two
-fingerprints at distance 3 share such a point, and 2 + 1 flips never exceed 3, so the same components come out exactly.
+A bucket with over MOST fingerprints isn't paired off, as its pairs grow with its square. Its fingerprints, and those that
+probe it, meet at points instead: one of even parity goes to its own value and to all values two flips away, one of odd
+parity to all values one flip away. At a point all link to one fingerprint that is odd, or the point itself. Two
+fingerprints at distance 1, 2 or 3 share a point where one of them may be that one, and no such link exceeds 3 bits, so
+the same components come out exactly, from a number of rows that is a multiple of the fingerprints.
 
 Cases: a null text, or one with no word, has fingerprint zero and links like any other; fewer than 3 words are one
 shingle. Repeated rows get equal rows. A null doc_id takes part, but never names a component (unless all are null). An
@@ -32,6 +34,8 @@ from .graph import components
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints of a bucket that are compared pair by pair.
 MOST = 48
+#: Shares in which a fingerprint's points are dealt to tasks.
+CHUNKS = 16
 #: Fingerprints from which the expected candidates of a threshold are estimated; this steers cost, never the result.
 SAMPLE = 2048
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
@@ -164,29 +168,25 @@ def _probes(parts: list[tuple[list[int], int]]):
     return run
 
 
-def _points(parts: list[tuple[list[int], int]]):
-    """Rows (part, point, fp, centre) for the fingerprints of large buckets; centre: it may stand for the point."""
-    made = []
-    for bits, _ in parts:
-        rest = [b for b in range(64) if b not in bits]
-        flips = _flips(rest, 2)
-        made.append((_mask(bits), flips, _bits(flips).sum(axis=1)))
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (point, fp, centre): the share `chunk` of the fingerprint's points, all of them of even parity.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            part, key, away, fp = (batch.column(k).to_numpy() for k in ("part", "key", "flips", "fp"))
-            for i, (mask, flips, size) in enumerate(made):
-                for w in range(3):
-                    mine = fp[(part == i) & (away == w)]
-                    here = (mine & ~mask) | key[(part == i) & (away == w)]
-                    reach = flips[size <= 2 - w]
-                    for at in range(0, len(mine), 50):
-                        point = (here[at : at + 50, None] ^ reach[None, :]).ravel()
-                        n = len(here[at : at + 50])
-                        centre = np.tile(size[size <= 2 - w] <= 1, n) & (w == 0)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(point), i, np.int32)), pa.array(point), pa.array(np.repeat(mine[at : at + 50], len(reach))), pa.array(centre)], ["part", "point", "fp", "centre"])
-
-    return run
+    Even fingerprints go to themselves and to what is two flips away, odd ones to what is one flip away.
+    """
+    flips = _flips(list(range(64)), 2)
+    size = _bits(flips).sum(axis=1)
+    near, far = flips[size == 1], flips[size != 1]
+    for batch in batches:
+        fp, chunk = batch.column("fp").to_numpy(), batch.column("chunk").to_numpy()
+        odd = _bits(fp).sum(axis=1) % 2 == 1
+        for k in range(CHUNKS):
+            for parity, reach in ((True, near[k::CHUNKS]), (False, far[k::CHUNKS])):
+                mine = fp[(odd == parity) & (chunk == k)]
+                for at in range(0, len(mine), 500):
+                    some = mine[at : at + 500]
+                    point = (some[:, None] ^ reach[None, :]).ravel()
+                    centre = np.tile(np.full(len(reach), True) if parity else reach == 0, len(some))
+                    yield pa.RecordBatch.from_arrays([pa.array(point), pa.array(np.repeat(some, len(reach))), pa.array(centre)], ["point", "fp", "centre"])
 
 
 def links(distinct: DataFrame, count: int, most: int = MOST) -> DataFrame:
@@ -200,9 +200,11 @@ def links(distinct: DataFrame, count: int, most: int = MOST) -> DataFrame:
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("size"))
     live = saved(probes.join(sizes, ["part", "key"]).where("size > 1 or flips > 0"))
     close = live.where(F.col("size") <= most).join(index, ["part", "key"]).where("fp < other").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    points = live.where(F.col("size") > most).select("part", "key", "flips", "fp").mapInArrow(_points(parts), "part int, point long, fp long, centre boolean")
-    centres = points.where("centre").groupBy("part", "point").agg(F.min("fp").alias("other"))
-    starred = points.select("part", "point", "fp").join(centres, ["part", "point"]).where("fp != other")
+    crowded = live.where(F.col("size") > most).select("fp").distinct()
+    dealt = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk")).repartition("fp", "chunk")
+    points = dealt.mapInArrow(_points, "point long, fp long, centre boolean")
+    centres = points.where("centre").groupBy("point").agg(F.min("fp").alias("other"))
+    starred = points.select("point", "fp").join(centres, "point").where("fp != other")
     return close.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(starred.select(F.col("fp").alias("a"), F.col("other").alias("b"))).distinct()
 
 
