@@ -278,9 +278,7 @@ def _score(model, top, key: str):
         for batch in steps(batches, most=1 << 20):
             texts = as_bytes(batch.column("text"))
             runs, sizes = runs_of([plain(t) for t in texts])
-            ends = np.cumsum(sizes)
-            total = np.concatenate([[0.0], np.cumsum(memo.cost(runs))])
-            score = total[ends] - total[ends - sizes]
+            score = np.add.reduceat(memo.cost(runs), np.cumsum(sizes) - sizes)
             tokens, known, base, rare = [], [], [], []
             for text in texts:
                 words = text.lower().split() if text else []

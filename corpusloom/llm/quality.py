@@ -41,9 +41,10 @@ _symbol, _blank = _class(SYMBOLS), _class(BLANKS)
 
 def _sums(flags: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Sums of consecutive stretches of the given sizes."""
-    total = np.concatenate([[0], np.cumsum(flags, dtype=np.float64)])
-    ends = np.cumsum(sizes)
-    return total[ends] - total[ends - sizes]
+    out, some = np.zeros(len(sizes)), sizes > 0
+    if some.any():
+        out[some] = np.add.reduceat(flags, (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+    return out
 
 
 def duplicate_lines(text: bytes) -> int:
