@@ -50,3 +50,12 @@ def test_ratio_is_symmetric(spark, pairs):
     df = spark.createDataFrame(pairs, "a string, b string")
     for r in df.select("a", "b", tx.ratio(F.col("a"), F.col("b")).alias("x"), tx.ratio(F.col("b"), F.col("a")).alias("y")).collect():
         assert r.x == r.y and 0 <= r.x <= 100 and (r.x == 100) == (r.a == r.b)
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.text("aé中😀", max_size=12), min_size=1, max_size=30))
+def test_cut_to_bytes(spark, texts):
+    from corpusloom.functions.matching import cut_to_bytes
+
+    want = [t.encode()[:7].decode(errors="ignore") for t in texts]
+    assert values(spark, texts, lambda c: cut_to_bytes(c, 7)) == want
