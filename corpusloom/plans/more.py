@@ -184,3 +184,46 @@ def section_repair_plan(t: Tables) -> DataFrame:
     df = t.orders.join(each, "o_orderkey", "left").na.fill(0, ["n", "flags", "lines"])
     plan = F.when(F.col("n") == 0, "none").when(F.col("flags") != F.col("lines"), "count differs").when(F.col("n") < 2, "prepend").otherwise("skip")
     return df.select("o_orderkey", plan.alias("plan"))
+
+
+def conversation_sections(t: Tables) -> DataFrame:
+    return t.conversations.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("section_no"), F.upper("role").alias("kind"), "text")
+
+
+@query("WITH p AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role <> 'assistant' OR n = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS parent FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations)) SELECT conv_id AS doc_id, CAST(parent AS INTEGER) AS section_no, upper(arg_min(role, turn)) AS kind, string_agg(text, chr(10) ORDER BY turn) AS text FROM p GROUP BY conv_id, parent")
+def st_demote_mks(t: Tables) -> DataFrame:
+    """An assistant's turn becomes the end of the turn before it."""
+    from ..operators.layout import demoted
+
+    return demoted(conversation_sections(t), "ASSISTANT")
+
+
+@query()
+def st_merge_dual(t: Tables) -> DataFrame:
+    from ..operators.layout import merged_twins
+
+    return merged_twins(conversation_sections(t))
+
+
+@query()
+def st_boundaries(t: Tables) -> DataFrame:
+    from ..operators.layout import boundaries
+
+    return boundaries(t.documents.select("doc_id", F.concat("text", F.lit("\nRaga: "), "lang").alias("text")))
+
+
+@query()
+def st_ragamalika(t: Tables) -> DataFrame:
+    from ..operators.layout import raga_markers
+
+    return raga_markers(t.documents.select("doc_id", F.concat("text", F.lit("\n"), "lang", F.lit(" ragam")).alias("text")))
+
+
+@query()
+def segment_pages(t: Tables) -> DataFrame:
+    """Lines of texts as blocks: a text's first line of each ten is set large and bold."""
+    from ..operators.layout import segments
+
+    parts = t.documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    large = F.col("i") % 10 == 0
+    return segments(parts.select("doc_id", F.floor(F.col("i") / 10).cast("int").alias("page"), (F.col("i") % 10).cast("double").alias("y0"), F.when(large, 14.0).otherwise(10.0).alias("font_size"), large.alias("is_bold"), "text"))

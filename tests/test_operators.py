@@ -76,3 +76,27 @@ def test_stream_is_idempotent(spark, tmp_path):
         ingest.run(stream(), lambda df: df.withColumn("n", F.length("kind")), F.when(F.col("kind") == "bad", "bad kind"), str(tmp_path / "out"), str(tmp_path / "check"))
     assert rows(spark.read.parquet(str(tmp_path / "out/good")).select("id", "n")) == [(1, 1)]
     assert rows(spark.read.parquet(str(tmp_path / "out/bad")).select("id", "_error")) == [(2, '{"message":"bad kind"}')]
+
+
+def test_steps_on_sections(spark):
+    from corpusloom.operators import layout
+
+    df = spark.createDataFrame([(1, 1, "PALLAVI", "a"), (1, 2, "MADHYAMA_KALA", "b"), (1, 3, "CHARANAM", "c" * 30), (1, 4, "CHARANAM", "c" * 31), (1, 5, "CHARANAM", "d")], "doc_id int, section_no int, kind string, text string")
+    assert rows(layout.demoted(df))[:2] == [(1, 1, "PALLAVI", "a\nb"), (1, 2, "CHARANAM", "c" * 30)]
+    assert rows(layout.merged_twins(df)) == [(1, 1, "PALLAVI", "a"), (1, 2, "MADHYAMA_KALA", "b"), (1, 3, "CHARANAM", "c" * 31), (1, 4, "CHARANAM", "d")]
+
+
+def test_markers_and_boundaries(spark):
+    from corpusloom.operators import layout
+
+    df = spark.createDataFrame([(1, "Raga: Todi\npallavi\n1. Sri ragam\nViloma - Arabhi rāgaṁ\nTala - Adi")], "doc_id int, text string")
+    assert rows(layout.raga_markers(df)) == [(1, 2, "Sri", False), (1, 3, "Arabhi", True)]
+    assert rows(layout.boundaries(df)) == [(1, "raga", 0, 10), (1, "tala", 54, 64)]
+
+
+def test_segments_of_pages(spark):
+    from corpusloom.operators import layout
+
+    blocks = [(1, 0, 0.0, 10.0, False, f"Work {i} ..... {i}") for i in range(4)] + [(1, 1, 0.0, 14.0, True, "First"), (1, 1, 1.0, 10.0, False, "body one"), (1, 2, 0.0, 10.0, False, "body two"), (1, 3, 0.0, 14.0, True, "Second"), (1, 3, 2.0, 10.0, False, "body three")]
+    df = spark.createDataFrame(blocks, "doc_id int, page int, y0 double, font_size double, is_bold boolean, text string")
+    assert rows(layout.segments(df)) == [(1, 1, "First", 1, "body one\nbody two"), (1, 2, "Second", 3, "body three")]
