@@ -9,7 +9,7 @@ bits; score is its log10 probability, bits_per_byte its cost per byte.
 
 Learning. All training texts count: every 6-byte run is counted over the corpus by Spark. The tables have a fixed size,
 so that they can travel; they are filled from those counts. Weights and the adaptive table are then learned online, in
-passes over the counted runs, where each run's own occurrence is taken out of the tables' counts first; eight learners
+one pass over the counted runs in a shuffled order, where each run's own occurrence is taken out of the tables' counts first; eight learners
 work on a share of the runs each, and their results are averaged by weight. When texts are scored nothing is learned, so
 a score depends on the text and the training texts only.
 
@@ -44,7 +44,7 @@ STARTS = tuple(sum(1 << s for s in SLOTS[:k]) for k in range(ORDERS + 1))
 LEARNERS, GATES, PLACES = 8, (ORDERS + 1) * 8, 33
 #: How much a context is drawn towards the shorter one, in occurrences, and from how many it counts as known.
 PRIOR, KNOWN = 0.4, 2
-RATE, BATCH, PASSES = 0.1, 4096, 2
+RATE, BATCH = 0.1, 1000
 #: Words whose counts travel to every task.
 TOP = 150_000
 #: Words or runs that a task holds before it hands on their counts.
@@ -139,7 +139,7 @@ class Mixer:
 
     def learn(self, runs: np.ndarray, counts: np.ndarray) -> None:
         """Online: one step for each batch of runs, first of the weights, then of the adaptive table."""
-        last, weight = (runs & np.uint64(255)).astype(np.int32), np.minimum(counts, 64).astype(np.float32)
+        last, weight = (runs & np.uint64(255)).astype(np.int32), counts.astype(np.float32)
         for j, slots, bit in slots_of(runs):
             x, gate = self.inputs(j, slots, bit)
             mixed = (x * self.weights[gate]).sum(axis=1)
@@ -227,17 +227,14 @@ def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _learn(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(b.column("run").to_numpy().astype(np.uint64), b.column("n").to_numpy()) for b in batches]
-        if not parts:
-            return
-        mixer = Mixer.fresh(*shared.value)
-        runs, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.random.default_rng(5)
-        for _ in range(PASSES):
-            at = order.permutation(len(runs))
-            for k in range(0, len(at), BATCH):
-                mixer.learn(runs[at[k : k + BATCH]], n[at[k : k + BATCH]])
-        yield pa.RecordBatch.from_arrays([pa.array([float(n.sum())]), pa.array([mixer.weights.astype(np.float32).tobytes()]), pa.array([mixer.refine.astype(np.float32).tobytes()])], ["mass", "weights", "refine"])
+        mixer, mass = Mixer.fresh(*shared.value), 0.0
+        for batch in batches:
+            runs, n = batch.column("run").to_numpy().astype(np.uint64), batch.column("n").to_numpy()
+            mass += float(n.sum())
+            for k in range(0, len(runs), BATCH):
+                mixer.learn(runs[k : k + BATCH], n[k : k + BATCH])
+        if mass:
+            yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([mixer.weights.astype(np.float32).tobytes()]), pa.array([mixer.refine.astype(np.float32).tobytes()])], ["mass", "weights", "refine"])
 
     return run
 
@@ -247,7 +244,7 @@ def train(texts: DataFrame) -> Mixer:
     spark = texts.sparkSession
     runs = texts.select("text").mapInArrow(_count_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     runs = saved(runs)
-    dealt = runs.repartition(LEARNERS, F.xxhash64("run")).sortWithinPartitions("run")
+    dealt = runs.repartition(LEARNERS, "run").sortWithinPartitions(F.xxhash64("run", F.lit("order")), "run")
     rows = dealt.mapInArrow(_tables, "slot int, seen double, ones double").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")).toArrow()
     seen, ones = np.zeros(STARTS[-1], np.float32), np.zeros(STARTS[-1], np.float32)
     slot = rows["slot"].to_numpy()
