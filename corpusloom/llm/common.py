@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow function works on at a time; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
@@ -35,6 +36,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def least_hashed(df: DataFrame, n: int, *keys: str, count: int | None = None) -> DataFrame:
+    """At most n rows, those of least hash of the keys, in a fixed choice.
+
+    A threshold on the hash, from the number of rows, leaves a few times n rows before any are gathered.
+    """
+    spread = F.xxhash64(*keys)
+    share = min(1.0, 4 * n / max(1, df.count() if count is None else count))
+    return df.where(F.pmod(spread, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(spread, F.lit(1 << 30)), *keys).limit(n)
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each piece have at most `most` bytes (one row at least)."""
     for batch in batches:

@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved
+from .common import least_hashed, read_table, saved
 
 FEATURES, BACKGROUND = 1 << 13, 2000
 #: Share of a template's pairs of words that confirms a prediction.
@@ -121,7 +121,7 @@ def fit(docs: DataFrame, background: int = BACKGROUND) -> Scanner:
     rows = notices()
     families = sorted({f for f, _ in rows})
     telling = r"(?i)licen[sc]|copyright|\bcc0?\b|public domain|permission|rights reserved|warrant|redistribut|spdx"
-    picked = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(background)
+    picked = docs.select("doc_id", "text").join(F.broadcast(least_hashed(docs.select("doc_id"), background, "doc_id")), "doc_id", "left_semi")
     other = paragraphs(picked).where(~F.col("line").rlike(telling)).orderBy(F.xxhash64("line", "doc_id"), "paragraph").limit(background)
     made = spark.createDataFrame(rows, "family string, line string").unionByName(other.select(F.lit("unknown").alias("family"), "line"))
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1

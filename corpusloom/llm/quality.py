@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, read_table, rolled, small_batches, steps, word_hashes
+from .common import as_bytes, least_hashed, mix, read_table, rolled, small_batches, steps, word_hashes
 
 ROWS, BUCKETS, CHARS = 3000, 1 << 18, 4
 KEEP_AT = 0.1
@@ -194,7 +194,8 @@ def fit(rows: list[tuple[int, bytes | None]]) -> Classifier:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[int, bytes | None]]:
     """At most `rows` (quality, text) rows, in a fixed order. The labels that are picked are bounded, so they are broadcast."""
-    some = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
+    some = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
+    some = least_hashed(some, rows, "doc_id", "quality")
     table = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     return list(zip(table["quality"].to_pylist(), as_bytes(table["text"].combine_chunks()), strict=True))[:rows] if len(table) else []
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read_table, saved, small_batches, steps
+from .common import as_bytes, least_hashed, read_table, saved, small_batches, steps
 from .graph import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -127,7 +127,7 @@ def plan(distinct: DataFrame, count: int) -> list[tuple[list[int], int]]:
     together = np.zeros(4096)
     for r in sums:
         together[r["cell"]] = r["sum"]
-    some = np.array([r[0] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], np.int64)
+    some = np.array([r[0] for r in least_hashed(distinct, SAMPLE, "fp", count=count).collect()], np.int64)
     bits, options = _bits(some).astype(np.float32), []
     for n in (2, 3, 4):
         parts = group_bits(together.reshape(64, 64), n)
