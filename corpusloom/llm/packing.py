@@ -40,7 +40,7 @@ _encoders: dict = {}
 #: Stands between words that are encoded together.
 MARK = b"\x01"
 #: Words whose ids a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 1_000_000
 
 
 class Encoder(dict):
@@ -89,7 +89,7 @@ def _pieces(path: str, capacity: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = encoder(path)
-        for batch in steps(batches, most=2 << 20):
+        for batch in steps(batches):
             lists = [t.split() if t else [] for t in as_bytes(batch.column("text"))]
             known.learn(set().union(*lists))
             out: list[tuple] = []
