@@ -6,7 +6,7 @@ string of words between single blanks; each text is normalised the same way and
 numbers and as offsets into the original text.
 
 Windows travel to the tasks as a broadcast value. Its size is checked: beyond PATTERN_BYTES the windows are dealt by
-hash to several automata, which scan one after the other, and each document's hits are united.
+hash to several automata, which scan one after the other, and each row's hits are united by its number in a saved copy.
 
 Cases: a null text has no words, and a null item none; items with one window text are all named. Repeated document rows
 each get their own result. An empty table of either kind gives no hits, or no rows. Other columns are ignored.
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read_table, small_batches, steps
+from .common import as_bytes, read_table, saved, small_batches, steps
 
 WIDTH = 13
 #: Bytes of window texts in one automaton.
@@ -115,15 +115,22 @@ def find_passages(docs: DataFrame, items: DataFrame, width: int = WIDTH, keep: t
     patterns = patterns.groupBy("pattern").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     size = patterns.select(F.sum(F.length("pattern") + 8 * F.size("items"))).first()[0] or 0
     shards = -(-size // pattern_bytes) or 1
-    schema = ", ".join([*(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keep), SCHEMA])
-    scan = lambda part, keys, frame: frame.mapInArrow(_scan(spark.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in part.collect()]), keys), schema)
+
+    def scan(part: DataFrame, keys: list[str], frame: DataFrame) -> DataFrame:
+        schema = ", ".join([*(f"`{k}` {frame.schema[k].dataType.simpleString()}" for k in keys), SCHEMA])
+        shared = spark.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in part.collect()])
+        return frame.mapInArrow(_scan(shared, keys), schema)
+
     if shards == 1:
         return scan(patterns, [*keep], docs.select(*keep, "text"))
-    passes = [scan(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k), [*keep], docs.select(*keep, "text")) for k in range(shards)]
-    out = passes[0]
-    for other in passes[1:]:
-        out = out.unionByName(other)
-    return out.groupBy(*keep).agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    numbered = saved(docs.select(*keep, "text", F.monotonically_increasing_id().alias("__row")))  # rows may be equal in all columns
+    whole = None
+    for k in range(shards):
+        part = scan(patterns.where(F.pmod(F.xxhash64("pattern"), F.lit(shards)) == k), ["__row"], numbered.select("__row", "text"))
+        part = part.where((F.size("hits") > 0) | F.lit(k == 0))
+        whole = part if whole is None else whole.unionByName(part)
+    united = whole.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"))
+    return numbered.drop("text").join(united, "__row").select(*keep, "n_words", "hits")
 
 
 DIGEST = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"

@@ -131,6 +131,14 @@ def test_contamination_cases(spark, docs, empty, repeated):
     assert kept.columns == docs.columns and kept.count() == len(ROWS)
 
 
+def test_repeated_rows_stay_with_several_automata(spark, repeated):
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    assert decontaminate.find_passages(repeated, items, pattern_bytes=200).count() == repeated.count()
+    same = spark.createDataFrame([(1, "a short item"), (1, "a short item"), (1, "nothing of it"), (None, None)], "doc_id long, text string")
+    found = decontaminate.find_passages(same, items, pattern_bytes=200)
+    assert sorted((r.n_words, len(r.hits)) for r in found.collect()) == [(0, 0), (3, 0), (3, 2), (3, 2)]
+
+
 # --- chat
 
 control = st.text(st.sampled_from(list("<|\\>im_start end:0\nab")), max_size=30)
