@@ -10,7 +10,7 @@ bits; score is its log10 probability, bits_per_byte its cost per byte.
 Learning. All training texts count: every 6-byte run is counted over the corpus by Spark. The tables have a fixed size,
 so that they can travel; they are filled from those counts. Weights and the adaptive table are then learned online, in
 one pass over the counted runs in a shuffled order, where each run's own occurrence is taken out of the tables' counts first; eight learners
-work on a share of the runs each, and their results are averaged by weight. When texts are scored nothing is learned, so
+or more (one for every SHARE distinct runs) work on a share of the runs each, and their results are averaged by weight. When texts are scored nothing is learned, so
 a score depends on the text and the training texts only.
 
 The unigram score needs the count of every word. The frequent words (at most TOP of them) travel to the tasks; the rest of
@@ -40,8 +40,8 @@ ORDERS = 5
 #: Slots of each order's table, as powers of two.
 SLOTS = (16, 18, 19, 20, 20)
 STARTS = tuple(sum(1 << s for s in SLOTS[:k]) for k in range(ORDERS + 1))
-#: Learners, gates, places of the adaptive table along the log odds.
-LEARNERS, GATES, PLACES = 8, (ORDERS + 1) * 8, 33
+#: Learners at least, distinct runs from which there are more, gates, places of the adaptive table along the log odds.
+LEARNERS, SHARE, GATES, PLACES = 8, 1 << 24, (ORDERS + 1) * 8, 33
 #: How much a context is drawn towards the shorter one, in occurrences, and from how many it counts as known.
 PRIOR, KNOWN = 0.4, 2
 RATE, BATCH = 0.1, 1000
@@ -244,7 +244,8 @@ def train(texts: DataFrame) -> Mixer:
     spark = texts.sparkSession
     runs = texts.select("text").mapInArrow(_count_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
     runs = saved(runs)
-    dealt = runs.repartition(LEARNERS, "run").sortWithinPartitions(F.xxhash64("run", F.lit("order")), "run")
+    learners = max(LEARNERS, -(-runs.count() // SHARE))
+    dealt = runs.repartition(learners, "run").sortWithinPartitions(F.xxhash64("run", F.lit("order")), "run")
     rows = dealt.mapInArrow(_tables, "slot int, seen double, ones double").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")).toArrow()
     seen, ones = np.zeros(STARTS[-1], np.float32), np.zeros(STARTS[-1], np.float32)
     slot = rows["slot"].to_numpy()
