@@ -93,3 +93,29 @@ def variant_score(title: Column, first: Column, second: Column, position: Column
 
 def variant_band(score: Column, high: float = 0.75, medium: float = 0.5) -> Column:
     return F.when(score >= high, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")
+
+
+def detect_duplicates(titles: DataFrame, agreeing: int = 75, else_: int = 85, high: int = 90) -> DataFrame:
+    """(a, owner_a, b, owner_b, score, confidence) of rows (title, owner) whose titles are alike, as written or without blanks.
+
+    The better of both scores counts; owners that agree (two unknown ones do) lower the bar. Equal titles meet once.
+    """
+    rows = titles.select("title", "owner").where("title is not null").distinct()
+    names = rows.select("title", compressed(F.col("title")).alias("key")).distinct()
+    plain = fuzzy(names.select(F.col("title").alias("name")), names.select(F.col("title").alias("name")), agreeing - 1).select("name", "candidate")
+    close = fuzzy(names.select(F.col("key").alias("name")), names.select(F.col("key").alias("name")), agreeing - 1).select("name", "candidate")
+    back = lambda old, new: names.select(F.col("key").alias(old), F.col("title").alias(new))
+    close = close.join(back("name", "a"), "name").join(back("candidate", "b"), "candidate").select("a", "b")
+    pairs = plain.toDF("a", "b").unionByName(close).where("a <= b").distinct()
+    score = F.greatest(tx.ratio(F.col("a"), F.col("b")), tx.ratio(compressed(F.col("a")), compressed(F.col("b"))))
+    pairs = pairs.withColumn("score", score).join(rows.toDF("a", "owner_a"), "a").join(rows.toDF("b", "owner_b"), "b")
+    pairs = pairs.where(F.struct("a", F.col("owner_a").alias("o")) < F.struct(F.col("b").alias("a"), F.col("owner_b").alias("o")))  # null before all
+    bar = F.when(F.col("owner_a").eqNullSafe(F.col("owner_b")), agreeing).otherwise(else_)
+    return pairs.where(F.col("score") >= bar).withColumn("confidence", F.when(F.col("score") > high, "HIGH").otherwise("MEDIUM"))
+
+
+def import_match(pairs: DataFrame, key: str, floors: tuple[int, int] = (75, 90)) -> DataFrame:
+    """The best of scored pairs (key, id, score, same_owner): over floors[0] with the owner, else over floors[1]; the highest
+    score wins, then the id."""
+    ok = pairs.where(F.col("score") > F.when(F.col("same_owner"), floors[0]).otherwise(floors[1]))
+    return first_of(ok, [key], [F.col("score").desc(), F.col("id")])

@@ -100,3 +100,16 @@ def test_segments_of_pages(spark):
     blocks = [(1, 0, 0.0, 10.0, False, f"Work {i} ..... {i}") for i in range(4)] + [(1, 1, 0.0, 14.0, True, "First"), (1, 1, 1.0, 10.0, False, "body one"), (1, 2, 0.0, 10.0, False, "body two"), (1, 3, 0.0, 14.0, True, "Second"), (1, 3, 2.0, 10.0, False, "body three")]
     df = spark.createDataFrame(blocks, "doc_id int, page int, y0 double, font_size double, is_bold boolean, text string")
     assert rows(layout.segments(df)) == [(1, 1, "First", 1, "body one\nbody two"), (1, 2, "Second", 3, "body three")]
+
+
+def test_detected_duplicates(spark):
+    rows = [("Sri Rama", None), ("sri rama", None), ("Srirama", "x"), ("Vatapi", "x"), ("Vatapi", "y"), (None, "x"), ("Vatapi", "x"), ("Endaro", None), ("Endaro", "z")]
+    found = linkage.detect_duplicates(spark.createDataFrame(rows, "title string, owner string")).collect()
+    got = {(r.a, r.owner_a, r.b, r.owner_b): (r.score, r.confidence) for r in found}
+    assert got.pop(("Endaro", None, "Endaro", "z")) == (100, "HIGH")
+    assert got == {("Sri Rama", None, "sri rama", None): (100, "HIGH"), ("Sri Rama", None, "Srirama", "x"): (100, "HIGH"), ("Srirama", "x", "sri rama", None): (100, "HIGH"), ("Vatapi", "x", "Vatapi", "y"): (100, "HIGH")}
+
+
+def test_import_match_takes_the_highest_score(spark):
+    pairs = spark.createDataFrame([("a", 1, 80, True), ("a", 2, 91, False), ("b", 1, 90, False), ("c", 3, 76, True), ("c", 2, 76, True)], "name string, id int, score int, same_owner boolean")
+    assert sorted(tuple(r) for r in linkage.import_match(pairs, "name").select("name", "id").collect()) == [("a", 2), ("c", 2)]
