@@ -7,16 +7,20 @@ The predictions, as log odds, are mixed by weights chosen by a gate (the longest
 number), and the result is refined by an adaptive table over (bits so far, log odds). A text's cost is the sum over its
 bits; score is its log10 probability, bits_per_byte its cost per byte.
 
-Learning. All training texts count: every 6-byte run is counted over the corpus by Spark. The tables have a fixed size,
-so that they can travel; they are filled from those counts. Weights and the adaptive table are then learned online, in
-one pass over the counted runs in a shuffled order, where each run's own occurrence is taken out of the tables' counts first; eight learners
-or more (one for every SHARE distinct runs) work on a share of the runs each, and their results are averaged by weight. When texts are scored nothing is learned, so
-a score depends on the text and the training texts only.
+Learning. All training texts count: every 6-byte run is counted over the corpus by Spark, in a table that grows with the
+corpus. Nothing is hashed: the counts of a context's bits are sums over the runs that end in it, so each is exact. The runs
+are dealt by the 3 bytes before the last one, so all runs of a context of 3 to 5 bytes meet in one task; the counts of
+1 and 2 bytes (at most 2^24 by definition) travel. Weights and the adaptive table are learned online, in one pass over the
+counted runs, where each run's own occurrence is taken out of the counts first; eight learners or more (one for every SHARE
+distinct runs) work on a share of the runs each, and their results are averaged by weight.
+
+Scoring. Each distinct run of the texts is priced once; the prices meet the runs of each block of texts (ROWS rows of a file)
+in a join, and go to the block's texts. Nothing is learned then, so a score depends on the text and the training texts only.
 
 The unigram score needs the count of every word. The frequent words (at most TOP of them) travel to the tasks; the rest of
 each text's words meet the vocabulary in a join, whose keys are all infrequent, so no key is hot.
 
-Cases: a null text is empty: it has the end only. With no training text all counts are 0 and the tables are empty. A null
+Cases: a null text is empty: it has the end only. With no training text all counts are 0. A null
 doc_id is never held out, and learned from like any other. Repeated rows get equal rows. An empty table gives an empty
 result. Other columns are ignored.
 """
@@ -37,9 +41,6 @@ from pyspark.sql import functions as F
 from .common import as_bytes, read_table, saved, small_batches, steps
 
 ORDERS = 5
-#: Slots of each order's table, as powers of two.
-SLOTS = (16, 18, 19, 20, 20)
-STARTS = tuple(sum(1 << s for s in SLOTS[:k]) for k in range(ORDERS + 1))
 #: Learners at least, distinct runs from which there are more, gates, places of the adaptive table along the log odds.
 LEARNERS, SHARE, GATES, PLACES = 8, 1 << 24, (ORDERS + 1) * 8, 33
 #: How much a context is drawn towards the shorter one, in occurrences, and from how many it counts as known.
@@ -49,6 +50,8 @@ RATE, BATCH = 0.1, 1000
 TOP = 150_000
 #: Words or runs that a task holds before it hands on their counts.
 HELD = 200_000
+#: Rows of a file whose texts get their prices together, runs of a block that a task holds, runs that are priced at once.
+ROWS, KEPT, CHUNK = 8192, 1_500_000, 100_000
 
 
 def plain(text: bytes | None) -> bytes:
@@ -70,21 +73,44 @@ def runs_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out[at], sizes
 
 
-def slots_of(runs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each bit of the last byte: (its number, the slot of each order: an array (runs, ORDERS), the bit)."""
-    last = (runs & np.uint64(255)).astype(np.uint32)
-    keys = []
-    with np.errstate(over="ignore"):
-        for k in range(1, ORDERS + 1):
-            context = runs >> np.uint64(8) & np.uint64((1 << 8 * k) - 1)
-            keys.append((context + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15))
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct keys in order, the sum of n of each)."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(n, first) if len(first) else n
+
+
+def level(keys: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order k's counts, from those of longer runs: (context and byte in order, counts up to each)."""
+    keys, n = summed(keys & np.uint64((1 << 8 * (k + 1)) - 1), n)
+    return keys, np.concatenate([[0], np.cumsum(n)])
+
+
+def nodes(levels: list[tuple[np.ndarray, np.ndarray]], runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each bit of the runs' last bytes was met, and was 1, in each order's context: two arrays (8, runs, ORDERS)."""
+    seen, ones = np.empty((8, len(runs), ORDERS), np.float32), np.empty((8, len(runs), ORDERS), np.float32)
+    for k, (keys, upto) in enumerate(levels, 1):
+        own = runs & np.uint64((1 << 8 * (k + 1)) - 1)
+        order = np.argsort(own)
+        own = own[order]
+        to = lambda at: upto[np.searchsorted(keys, at)]  # noqa: B023, E731
+        low = own & ~np.uint64(255)
+        below, above = to(low), to(low + np.uint64(256))
         for j in range(8):
-            so_far = (last >> (8 - j) | 1 << j).astype(np.uint64)
-            out = np.empty((len(runs), ORDERS), np.int32)
-            for k in range(ORDERS):
-                h = (keys[k] ^ so_far * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0xC2B2AE3D27D4EB4F)
-                out[:, k] = (h >> np.uint64(64 - SLOTS[k])).astype(np.int32) + STARTS[k]
-            yield j, out, (last >> (7 - j) & 1).astype(np.float32)
+            half = to(low + np.uint64(128 >> j))
+            seen[j, order, k - 1], ones[j, order, k - 1] = above - below, above - half
+            bit = (own >> np.uint64(7 - j) & np.uint64(1)) > 0
+            below, above = np.where(bit, half, below), np.where(bit, above, half)
+            low = low + np.where(bit, np.uint64(128 >> j), np.uint64(0))
+    return seen, ones
+
+
+def bits_of(runs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each bit of the last byte: (its number, the byte's bits so far, the bit)."""
+    last = (runs & np.uint64(255)).astype(np.int32)
+    for j in range(8):
+        yield j, last >> (8 - j) | 1 << j, (last >> (7 - j) & 1).astype(np.float32)
 
 
 def _squash(x: np.ndarray) -> np.ndarray:
@@ -93,26 +119,29 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Mixer:
-    """seen, ones: float32 counts by slot; weights: (GATES, ORDERS + 1); refine: (256, PLACES) log odds."""
+    """low: the counts of order 1 and 2 (see level); weights: (GATES, ORDERS + 1); refine: (256, PLACES) log odds; runs: the
+    table of counted runs, on the driver only."""
 
-    seen: np.ndarray
-    ones: np.ndarray
+    low: list[tuple[np.ndarray, np.ndarray]]
     weights: np.ndarray
     refine: np.ndarray
-    name: str = ""
+    runs: DataFrame | None = None
 
     @classmethod
-    def fresh(cls, seen: np.ndarray, ones: np.ndarray) -> Mixer:
+    def fresh(cls, low: list[tuple[np.ndarray, np.ndarray]]) -> Mixer:
         grid = np.tile(np.linspace(-8, 8, PLACES, dtype=np.float32), (256, 1))
-        return cls(seen, ones, np.tile(np.float32([0] * (ORDERS - 2) + [0.3, 0.7, 0]), (GATES, 1)), grid, uuid.uuid4().hex)
+        return cls(low, np.tile(np.float32([0] * (ORDERS - 2) + [0.3, 0.7, 0]), (GATES, 1)), grid)
+
+    def levels(self, runs: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """runs: all counted runs with the 3-byte contexts in question."""
+        return [*self.low, *(level(runs, n, k) for k in range(3, ORDERS + 1))]
 
-    def inputs(self, j: int, slots: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    def inputs(self, j: int, n: np.ndarray, n1: np.ndarray, own: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
         """(log odds of each order and 1; the gate). own: the bit to take out of the counts."""
-        n, n1 = self.seen[slots], self.ones[slots]
         if own is not None:
             n, n1 = np.maximum(n - 1, 0), np.maximum(n1 - own[:, None], 0)
-        x = np.ones((len(slots), ORDERS + 1), np.float32)
-        p = np.full(len(slots), 0.5, np.float32)
+        x = np.ones((len(n), ORDERS + 1), np.float32)
+        p = np.full(len(n), 0.5, np.float32)
         for k in range(ORDERS):  # each context's share, drawn towards that of the shorter one
             p = np.clip((n1[:, k] + PRIOR * p) / (np.maximum(n[:, k], n1[:, k]) + PRIOR), 1e-6, 1 - 1e-6)
             x[:, k] = np.log(p / (1 - p))
@@ -128,26 +157,31 @@ class Mixer:
         fine = self.refine[so_far, low] * (1 - share) + self.refine[so_far, low + 1] * share
         return np.clip((_squash(mixed) + _squash(fine)) / 2, 1e-6, 1 - 1e-6), low, share
 
-    def cost(self, runs: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each run's last byte."""
-        total, last = np.zeros(len(runs)), (runs & np.uint64(255)).astype(np.int32)
-        for j, slots, bit in slots_of(runs):
-            x, gate = self.inputs(j, slots, None)
-            p, _, _ = self.refined(last >> (8 - j) | 1 << j, (x * self.weights[gate]).sum(axis=1))
+    def price(self, runs: np.ndarray, seen: np.ndarray, ones: np.ndarray) -> np.ndarray:
+        """log10 of the probability of each run's last byte, from its nodes."""
+        total = np.zeros(len(runs))
+        for j, so_far, bit in bits_of(runs):
+            x, gate = self.inputs(j, seen[j], ones[j], None)
+            p, _, _ = self.refined(so_far, (x * self.weights[gate]).sum(axis=1))
             total += np.log10(np.where(bit > 0, p, 1 - p))
         return total
 
-    def learn(self, runs: np.ndarray, counts: np.ndarray) -> None:
+    def cost(self, runs: np.ndarray) -> np.ndarray:
+        """The same of a few runs, on the driver: it fetches the counts that they need."""
+        context = [int(c) for c in np.unique(runs >> np.uint64(8) & np.uint64(0xFFFFFF))]
+        rows = self.runs.where(_context().isin(context)).toArrow()
+        return self.price(runs, *nodes(self.levels(rows["run"].to_numpy().astype(np.uint64), rows["n"].to_numpy()), runs))
+
+    def learn(self, runs: np.ndarray, counts: np.ndarray, seen: np.ndarray, ones: np.ndarray) -> None:
         """Online: one step for each batch of runs, first of the weights, then of the adaptive table."""
-        last, weight = (runs & np.uint64(255)).astype(np.int32), counts.astype(np.float32)
-        for j, slots, bit in slots_of(runs):
-            x, gate = self.inputs(j, slots, bit)
+        weight = counts.astype(np.float32)
+        for j, so_far, bit in bits_of(runs):
+            x, gate = self.inputs(j, seen[j], ones[j], bit)
             mixed = (x * self.weights[gate]).sum(axis=1)
             error = (bit - _squash(mixed)) * weight
             mass = np.maximum(np.bincount(gate, weights=weight, minlength=GATES), 1)
             for k in range(ORDERS + 1):
                 self.weights[:, k] += RATE * np.bincount(gate, weights=error * x[:, k], minlength=GATES) / mass
-            so_far = last >> (8 - j) | 1 << j
             _, low, share = self.refined(so_far, mixed)
             fine = self.refine[so_far, low] * (1 - share) + self.refine[so_far, low + 1] * share
             error = (bit - _squash(fine)) * weight
@@ -157,23 +191,38 @@ class Mixer:
                 self.refine += (0.5 * up / (of + 4)).reshape(256, PLACES).astype(np.float32)
 
 
-class Memo:
-    """Costs of the runs met so far, one for each place of a table; a Python worker keeps it between tasks."""
-
-    def __init__(self, mixer: Mixer, bits: int = 20) -> None:
-        self.mixer, self.shift = mixer, np.uint64(64 - bits)
-        self.keys, self.costs = np.zeros(1 << bits, np.uint64), np.full(1 << bits, np.nan)
+class Prices:
+    """The price of each of a block's runs, in hash tables: what finds its place taken goes to the next, smaller table."""
+
+    def __init__(self, keys: np.ndarray, costs: np.ndarray) -> None:
+        self.tables = []
+        keys, first = np.unique(keys, return_index=True)
+        costs = costs[first]
+        while len(keys):
+            bits = max(4, int(2 * len(keys)).bit_length())
+            at = self._place(keys, bits, len(self.tables))
+            have, price = np.full(1 << bits, 1 << 63, np.uint64), np.zeros(1 << bits)
+            have[at] = keys
+            rest = have[at] != keys
+            price[at[~rest]] = costs[~rest]
+            self.tables.append((bits, have, price))
+            keys, costs = keys[rest], costs[rest]
+
+    @staticmethod
+    def _place(keys: np.ndarray, bits: int, depth: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            odd = np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x5851F42D4C957F2E) * np.uint64(depth)
+            return (keys * odd >> np.uint64(64 - bits)).astype(np.int64)
 
     def cost(self, runs: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            at = (runs * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
-        out = self.costs[at]
-        miss = np.flatnonzero((self.keys[at] != runs) | np.isnan(out))
-        if len(miss):
-            new, back = np.unique(runs[miss], return_inverse=True)
-            made = np.concatenate([self.mixer.cost(new[k : k + 100_000]) for k in range(0, len(new), 100_000)])
-            out[miss] = made[back]
-            self.keys[at[miss]], self.costs[at[miss]] = runs[miss], made[back]
+        out, left = np.zeros(len(runs)), np.arange(len(runs))
+        for depth, (bits, have, price) in enumerate(self.tables):
+            at = self._place(runs[left], bits, depth)
+            hit = have[at] == runs[left]
+            out[left[hit]] = price[at[hit]]
+            left = left[~hit]
+        if len(left):
+            raise RuntimeError(f"{len(left)} runs of a block have no price")
         return out
 
 
@@ -191,92 +240,188 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
-def _count_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct runs of each block, and how often each is in texts that are learned from."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    block = None
 
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        return keys[first], np.add.reduceat(counts, first)
+    def emit() -> pa.RecordBatch:
+        both, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        runs, n = summed(both >> np.uint64(1), counts * (both & np.uint64(1)).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), block, np.int64)), pa.array(runs.astype(np.int64)), pa.array(n)], ["block", "run", "n"])
 
-    emit = lambda x: pa.RecordBatch.from_arrays([pa.array(x[0].astype(np.int64)), pa.array(x[1])], ["run", "n"])
     for batch in steps(batches):
-        runs, _ = runs_of([plain(t) for t in as_bytes(batch.column("text"))])
-        held.append(np.unique(runs, return_counts=True))
-        if sum(len(x[0]) for x in held) > 4 * HELD:
-            held = [merged()]
-            if len(held[0][0]) > 2 * HELD:
-                yield emit(held.pop())
+        blocks = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if held and blocks[at] != block:
+                yield emit()
+                held = []
+            block, part = blocks[at], batch.slice(at, to - at)
+            runs, sizes = runs_of([plain(t) for t in as_bytes(part.column("text"))])
+            learned = np.repeat(part.column("learned").to_numpy(zero_copy_only=False).astype(np.uint64), sizes)
+            held.append(np.unique(runs << np.uint64(1) | learned, return_counts=True))
+            if sum(len(x[0]) for x in held) > KEPT:
+                held = [summed(*(np.concatenate(x) for x in zip(*held, strict=True)))]
+                if len(held[0][0]) > KEPT // 2:
+                    yield emit()
+                    held = []
     if held:
-        yield emit(merged())
+        yield emit()
 
 
-def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen, ones = np.zeros(STARTS[-1]), np.zeros(STARTS[-1])
-    for batch in batches:
-        runs, n = batch.column("run").to_numpy().astype(np.uint64), batch.column("n").to_numpy().astype(float)
-        for _, slots, bit in slots_of(runs):
-            for k in range(ORDERS):
-                np.add.at(seen, slots[:, k], n)
-                np.add.at(ones, slots[:, k], n * bit)
-    some = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some]), pa.array(ones[some])], ["slot", "seen", "ones"])
+def _context() -> Column:
+    """The 3 bytes before a run's last one."""
+    return F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFFFF))
 
 
-def _learn(shared):
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(runs, n), CHUNK of them or more, with whole 3-byte contexts; rows with one context come one after another."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append((batch.column("run").to_numpy().astype(np.uint64), batch.column("n").to_numpy()))
+        size += batch.num_rows
+        if size >= CHUNK:
+            runs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            context = runs >> np.uint64(8) & np.uint64(0xFFFFFF)
+            ends = np.flatnonzero(context[1:] != context[:-1])
+            at = int(ends[-1]) + 1 if len(ends) else 0
+            if at:
+                yield runs[:at], n[:at]
+            held, size = [(runs[at:], n[at:])], len(runs) - at
+    if size:
+        runs, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield runs, n
+
+
+def _learn(low):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mixer, mass = Mixer.fresh(*shared.value), 0.0
-        for batch in batches:
-            runs, n = batch.column("run").to_numpy().astype(np.uint64), batch.column("n").to_numpy()
+        mixer, mass = Mixer.fresh(low.value), 0.0
+        for runs, n in _chunks(batches):
             mass += float(n.sum())
-            for k in range(0, len(runs), BATCH):
-                mixer.learn(runs[k : k + BATCH], n[k : k + BATCH])
+            levels = mixer.levels(runs, n)
+            with np.errstate(over="ignore"):
+                order = np.argsort(runs * np.uint64(0x9E3779B97F4A7C15), kind="stable")  # neighbours differ
+            for at in range(0, len(order), CHUNK):
+                some = order[at : at + CHUNK]
+                seen, ones = nodes(levels, runs[some])
+                for k in range(0, len(some), BATCH):
+                    part = some[k : k + BATCH]
+                    mixer.learn(runs[part], n[part], seen[:, k : k + BATCH], ones[:, k : k + BATCH])
         if mass:
             yield pa.RecordBatch.from_arrays([pa.array([mass]), pa.array([mixer.weights.astype(np.float32).tobytes()]), pa.array([mixer.refine.astype(np.float32).tobytes()])], ["mass", "weights", "refine"])
 
     return run
 
 
+def _price(model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mixer = model.value
+        for runs, n in _chunks(batches):
+            levels = mixer.levels(runs, n)
+            for at in range(0, len(runs), CHUNK):
+                some = runs[at : at + CHUNK]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(mixer.price(some, *nodes(levels, some)).astype(np.float32))], ["run", "cost"])
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of each block and their prices, as bytes."""
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def emit() -> pa.RecordBatch:
+        block, run, cost = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((run, block))
+        block, run, cost = block[order], run[order], cost[order]
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        return pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([run[a:b].tobytes() for a, b in spans], pa.binary()), pa.array([cost[a:b].tobytes() for a, b in spans], pa.binary())], ["block", "runs", "costs"])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(batch.column(c).to_numpy() for c in ("block", "run", "cost")))
+        if sum(len(x[0]) for x in held) > 2 * HELD:
+            yield emit()
+            held = []
+    if held:
+        yield emit()
+
+
+def block_runs(texts: DataFrame) -> DataFrame:
+    """block, run and n, from block, text and learned; a pair may come more than once."""
+    return saved(texts.select("block", "text", "learned").mapInArrow(_block_runs, "block long, run long, n long"))
+
+
 def train(texts: DataFrame) -> Mixer:
     """The model of the column text of all rows of texts (nulls are empty)."""
-    spark = texts.sparkSession
-    runs = texts.select("text").mapInArrow(_count_runs, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    runs = saved(runs)
-    learners = max(LEARNERS, -(-runs.count() // SHARE))
-    dealt = runs.repartition(learners, "run").sortWithinPartitions(F.xxhash64("run", F.lit("order")), "run")
-    rows = dealt.mapInArrow(_tables, "slot int, seen double, ones double").groupBy("slot").agg(F.sum("seen").alias("seen"), F.sum("ones").alias("ones")).toArrow()
-    seen, ones = np.zeros(STARTS[-1], np.float32), np.zeros(STARTS[-1], np.float32)
-    slot = rows["slot"].to_numpy()
-    seen[slot], ones[slot] = rows["seen"].to_numpy(), rows["ones"].to_numpy()
-    del rows
-    mixer = Mixer.fresh(seen, ones)
-    made = dealt.mapInArrow(_learn(spark.sparkContext.broadcast((seen, ones))), "mass double, weights binary, refine binary").orderBy("mass").collect()
+    return fit(block_runs(texts.select(F.lit(0).cast("long").alias("block"), "text", F.lit(True).alias("learned"))))
+
+
+def fit(pairs: DataFrame) -> Mixer:
+    """The model, from block_runs()."""
+    runs = saved(pairs.groupBy("run").agg(F.sum("n").alias("n")))
+    share = pairs.sparkSession.sparkContext.broadcast
+    known = runs.where("n > 0")
+    rows = known.groupBy(F.col("run").bitwiseAND(F.lit(0xFFFFFF)).alias("run")).agg(F.sum("n").alias("n")).toArrow()  # 2^24 at most
+    keys, n = rows["run"].to_numpy().astype(np.uint64), rows["n"].to_numpy()
+    mixer = Mixer.fresh([level(keys, n, k) for k in (1, 2)])
+    mixer.runs = runs
+    learners = max(LEARNERS, -(-known.count() // SHARE))
+    dealt = known.repartition(learners, _context()).sortWithinPartitions(F.xxhash64(_context()), _context(), "run")
+    made = dealt.mapInArrow(_learn(share(mixer.low)), "mass double, weights binary, refine binary").orderBy("mass").collect()
     if made:
-        share = np.array([r["mass"] for r in made]) / sum(r["mass"] for r in made)
+        part = np.array([r["mass"] for r in made]) / sum(r["mass"] for r in made)
         for name in ("weights", "refine"):
             value = getattr(mixer, name)
-            setattr(mixer, name, sum(s * np.frombuffer(r[name], np.float32) for s, r in zip(share, made, strict=True)).reshape(value.shape).astype(np.float32))
+            setattr(mixer, name, sum(s * np.frombuffer(r[name], np.float32) for s, r in zip(part, made, strict=True)).reshape(value.shape).astype(np.float32))
     return mixer
 
 
-_memo: dict[str, Memo] = {}
+def priced(mixer: Mixer) -> DataFrame:
+    """run and cost, for every run of the texts."""
+    model = mixer.runs.sparkSession.sparkContext.broadcast(Mixer(mixer.low, mixer.weights, mixer.refine))
+    return mixer.runs.repartition(_context()).sortWithinPartitions(_context(), "run").mapInArrow(_price(model), "run long, cost float")
+
+
 _top: dict[str, dict] = {}
 
 
-def _score(model, top, key: str):
+def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, pa.RecordBatch]]:
+    """Each block's texts, a step at a time, with its prices, which come first."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    prices = block = None
+    for batch in batches:
+        blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
+        cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            if at == to:
+                continue
+            if blocks[at] != block:
+                held, prices, block = [], None, blocks[at]
+            part = batch.slice(at, to - at)
+            if not kinds[at]:
+                held += [(np.frombuffer(r, np.int64), np.frombuffer(c, np.float32)) for r, c in zip(as_bytes(part.column("runs")), as_bytes(part.column("costs")), strict=True)]
+                continue
+            if prices is None:
+                runs, costs = (np.concatenate(x) for x in zip(*held, strict=True))
+                prices, held = Prices(runs.astype(np.uint64), costs), []
+            for some in steps(iter([part]), most=1 << 20):
+                yield prices, some
+
+
+def _score(top, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _memo:
-            _memo.clear()
+        if key not in _top:
             _top.clear()
-            _memo[key], _top[key] = Memo(model.value), dict(top.value)
-        memo, counts = _memo[key], _top[key]
+            _top[key] = dict(top.value)
+        counts = _top[key]
         row, first = 0, TaskContext.get().partitionId() << 40
-        for batch in steps(batches, most=1 << 20):
+        for prices, batch in _with_prices(batches):
             texts = as_bytes(batch.column("text"))
             runs, sizes = runs_of([plain(t) for t in texts])
-            score = np.add.reduceat(memo.cost(runs), np.cumsum(sizes) - sizes)
+            score = np.add.reduceat(prices.cost(runs), np.cumsum(sizes) - sizes)
             tokens, known, base, rare = [], [], [], []
             for text in texts:
                 words = text.lower().split() if text else []
@@ -315,17 +460,27 @@ def frequent(counts: DataFrame, most: int = TOP) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in counts.where(band >= least).collect()}
 
 
-def score_texts(docs: DataFrame, train_on: Column, top: int = TOP) -> DataFrame:
-    """For each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
+def score_texts(docs: DataFrame, train_on: Column, top: int = TOP, block: Column | None = None) -> DataFrame:
+    """For each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
+
+    block: a long number of a row's block, the same however often docs is read; rows of a block should be neighbours. Without
+    it the texts are written once, and each task's rows are a block.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    texts = docs.where(train_on).select("text")
-    counts = saved(word_counts(texts))
+    texts = docs.select("doc_id", "text", (F.spark_partition_id().cast("long") if block is None else block).alias("block"), F.coalesce(train_on, F.lit(False)).alias("learned"))
+    if block is None:
+        texts = saved(texts)
+    counts = saved(word_counts(texts.where("learned")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = frequent(counts, top)
     share = spark.sparkContext.broadcast
     schema = "row long, doc_id long, words long, known long, base double, score double, bytes long, rare array<struct<word: binary, n: int>>"
-    scored = docs.select("doc_id", "text").mapInArrow(_score(share(train(texts)), share(list(common.items())), uuid.uuid4().hex), schema)
+    pairs = block_runs(texts)
+    prices = pairs.select("block", "run").join(priced(fit(pairs)), "run").select("block", "run", "cost").mapInArrow(_packed, "block long, runs binary, costs binary")
+    both = prices.withColumn("kind", F.lit(0)).unionByName(texts.select("block", "doc_id", "text", F.lit(1).alias("kind")), allowMissingColumns=True)
+    met = both.select("block", "kind", "doc_id", "text", "runs", "costs").repartition("block").sortWithinPartitions("block", "kind")
+    scored = met.mapInArrow(_score(share(list(common.items())), uuid.uuid4().hex), schema)
     scored = saved(scored)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("extra"))
@@ -346,6 +501,7 @@ def _remainder() -> Column:
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    scored = score_texts(docs, ~_remainder())
+    docs = read_table(spark, sf_dir, "documents")
+    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / ROWS))  # however the files are split
+    scored = score_texts(docs, ~_remainder(), block=block)
     return scored.select("doc_id", _remainder().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")

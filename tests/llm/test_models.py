@@ -96,6 +96,17 @@ def test_lm_probabilities_sum_to_one(spark):
     assert total.sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_lm_counts_stay_apart(spark):
+    """Far more contexts than a table of 2^20 places holds: a text learned three times stays cheap, one not learned doesn't."""
+    import random
+
+    pick = random.Random(1)
+    texts = ["".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=150)) for _ in range(2000)]
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(3)] + [(-1 - i, "".join(pick.choices("abcdefghijklmnopqrstuvwxyz", k=150))) for i in range(20)]
+    got = lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), lm.F.col("doc_id") >= 0).toPandas()
+    assert got[got.doc_id >= 0].bits_per_byte.mean() < 1 and got[got.doc_id < 0].bits_per_byte.mean() > 4
+
+
 def test_lm_cases(spark, docs, empty, repeated, unnamed):
     assert lm.score_texts(empty, ~lm._remainder()).collect() == []
     got = lm.score_texts(docs, ~lm._remainder()).collect()
