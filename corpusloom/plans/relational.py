@@ -355,6 +355,12 @@ def sort_nulls(t: Tables) -> DataFrame:
     return top.withColumn("place", F.row_number().over(Window.orderBy(F.col("quality").desc_nulls_last(), "doc_id")).cast("long"))
 
 
+@query("SELECT d.doc_id, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id ORDER BY quality DESC NULLS LAST, d.doc_id")
+def sort_nulls_all(t: Tables) -> DataFrame:
+    """Every row, nulls last, in a range-partitioned sort."""
+    return t.documents.join(t.labels, "doc_id", "left").select("doc_id", "quality").orderBy(F.col("quality").desc_nulls_last(), "doc_id")
+
+
 @query("SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 40")
 def page_offset(t: Tables) -> DataFrame:
     return ops.page(t.orders.select("o_orderkey", "o_totalprice"), [F.col("o_totalprice").desc(), F.col("o_orderkey")], 2, 20)

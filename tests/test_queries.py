@@ -38,3 +38,10 @@ def test_query(spark, duck, name):
         names = [d[0] for d in result.description]
         assert sorted(names) == columns
         assert got == sorted(repr([plain(r[names.index(c)]) for c in columns]) for r in result.fetchall())
+
+
+def test_sort_nulls_keeps_all_rows_in_order(spark, duck):
+    got = [(r.doc_id, r.quality) for r in QUERIES["sort_nulls_all"](spark, str(DATA)).collect()]
+    assert got == duck.execute(SQL["sort_nulls_all"]).fetchall()
+    assert len(got) == duck.execute("select count(*) from documents").fetchone()[0]
+    assert got[-1][1] is None and got[0][1] == 1
