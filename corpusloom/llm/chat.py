@@ -9,7 +9,7 @@ placeholder ``<|image:k|>`` (k counts the conversation's attachments), and their
 count are recorded. The loss mask covers the assistant's contents, without markers and placeholders.
 
 Cases: a null text is empty, a null role too. Rows of one conversation are ordered by turn (nulls first), then role,
-then text, so ties and repeated rows give one defined order; each row is a turn. Rows with a null conversation id are
+then the parts' texts (as they are, not as JSON), so ties and repeated rows give one defined order; each row is a turn. Rows with a null conversation id are
 one conversation. An empty table gives an empty result. Other columns are ignored. A part of unknown type raises.
 
 The turns of a conversation reach one task in order and are read as a stream, so memory follows the formatted text.
@@ -131,7 +131,7 @@ def text_parts(df: DataFrame, text: str = "text") -> DataFrame:
 def format_chat(turns: DataFrame) -> DataFrame:
     """SCHEMA for each conversation of turns(conv_id, turn, role, parts), parts being PARTS."""
     df = turns.select(F.col("conv_id").cast("long"), "turn", "role", F.col("parts").cast(PARTS).alias("parts"))
-    df = df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", F.to_json("parts"))
+    df = df.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), F.transform("parts", lambda p: F.coalesce(p["text"], F.lit(""))), F.to_json("parts"))
     return df.select("conv_id", "role", "parts").mapInArrow(_format, SCHEMA)
 
 

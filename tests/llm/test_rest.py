@@ -175,6 +175,14 @@ def test_chat_ties_and_repeated_rows(spark):
     assert got == {1: [("", ""), ("user", "a"), ("user", "a"), ("user", "b")], None: [("assistant", "x")]}
 
 
+def test_chat_ties_go_by_the_text_itself(spark):
+    """JSON would put a quote, a newline and a backslash behind letters."""
+    texts = ['"quoted', "Alpha", "\nline", "\\back", "", "zeta", "[x", "\tab"]
+    df = spark.createDataFrame([(1, 0, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    row = chat.format_chat(chat.text_parts(df)).first()
+    assert [t for _, t in chat.parse_chat(row.formatted, [])[0]] == sorted(texts)
+
+
 # --- URL filters
 
 
