@@ -3,7 +3,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import REPEATED, ROWS
+from conftest import REPEATED, ROWS, passage
 
 from corpusloom.llm import simhash, substring
 from corpusloom.llm.graph import components
@@ -60,26 +60,51 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
-@pytest.mark.parametrize("hot", [0, 2, 5000])
-def test_repeats(spark, hot):
+def removed(ranges):
+    return sum(x["last"] - x["first"] + 1 for x in ranges)
+
+
+@pytest.mark.parametrize(("rows", "most"), [(512, 4_000_000), (7, 4_000_000), (1, 60), (512, 60)])
+def test_repeats(spark, rows, most):
+    """One passage in 40 different surroundings; shards of every size, and several automata for one shard."""
     many = [(100 + i, f"own{i} words{i} " + ROWS[0][1][:400] + f" tail{i}") for i in range(40)]
-    rows = [*ROWS, *many]
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    found = {r.doc_id: r.ranges for r in substring.repeated_ranges(df, hot=hot).collect()}
-    for i, (_, gone, digest) in brute.repeats(rows).items():
-        spans = substring.merged(found.get(i))
-        assert sum(b - a + 1 for a, b in spans) == gone, i
+    df = spark.createDataFrame([*ROWS, *many], "doc_id long, text string").repartition(5)
+    found = {r.doc_id: removed(r.ranges) for r in substring.repeated_ranges(df, rows=rows, most=most).collect()}
+    assert found == {i: gone for i, (_, gone, _) in brute.repeats([*ROWS, *many]).items()}
+
+
+@pytest.mark.parametrize("rows", [1, 3, 512])
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_random_passages(spark, seed, rows):
+    """Few different words and short pieces in any order, so that windows recur at all offsets."""
+    rng = np.random.default_rng(seed)
+    pieces = [" ".join(f"w{x}" for x in rng.integers(0, 6, rng.integers(5, 60))) for _ in range(8)]
+    docs = [(int(i), " ".join(pieces[k] for k in rng.integers(0, 8, rng.integers(0, 9)))) for i in rng.permutation(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: removed(r.ranges) for r in substring.repeated_ranges(df, rows=rows).collect()}
+    assert found == {i: gone for i, (_, gone, _) in brute.repeats(docs).items()}
+
+
+@pytest.mark.parametrize("rows", [1, 512])
+def test_rows_with_one_id_and_different_texts(spark, rows):
+    a, b = passage(21, 100), passage(22, 10)
+    cases = [(1, a), (2, a), (2, b), (2, a), (3, b + " " + passage(23, 30)), (3, passage(23, 30) + " " + b), (None, a), (2, None)]
+    df = spark.createDataFrame(cases, "doc_id long, text string")
+    found = sorted((r.doc_id or 0, removed(r.ranges)) for r in substring.repeated_ranges(df, rows=rows).collect())
+    assert found == [(0, 0), (1, 0), (2, 0), (2, 0), (2, 100), (2, 100), (3, 0), (3, 30)]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in substring.without_repeats(df).collect())
+    assert [x for x in kept if x[0] < 3] == [(0, a), (1, a), (2, ""), (2, b)]
 
 
 def test_repeats_cases(spark, docs, empty, unnamed, repeated):
     assert substring.repeated_ranges(empty).collect() == [] and substring.without_repeats(empty).collect() == []
-    assert substring.repeated_ranges(unnamed).collect() == []  # rows without an id have no place in the order
-    once = {r.doc_id: r.ranges for r in substring.repeated_ranges(docs).collect()}
-    assert once == {r.doc_id: r.ranges for r in substring.repeated_ranges(repeated).collect()}
+    assert not any(r.ranges for r in substring.repeated_ranges(unnamed).collect())  # rows without an id have no place in the order
+    ranges = lambda df: {(r.doc_id, tuple(r.ranges)) for r in substring.repeated_ranges(df).collect()}
+    assert ranges(docs) == ranges(repeated) and substring.repeated_ranges(repeated).count() == repeated.count()
     kept = substring.without_repeats(docs)
     assert kept.columns == docs.columns
     left = by_id(kept, "text", "n_chars")
-    assert 1 not in left and left[0] == (ROWS[0][1], len(ROWS[0][1])) and left[5] == (None, None) and 4 not in left
+    assert 1 not in left and left[0] == (ROWS[0][1], len(ROWS[0][1])) and left[5] == (None, 0) and left[4] == ("", 0) and left[6][0] == ROWS[6][1]
     assert left[3][0].startswith(ROWS[3][1][:50]) and len(left[3][0].split()) == 60
 
 
