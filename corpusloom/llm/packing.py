@@ -2,9 +2,11 @@
 
 The plan needs the length histogram only (4096 counts, however large the corpus). Its configuration linear program - a
 configuration is a set of lengths that fits, each length must be covered as often as it occurs - is solved by
-multiplicative weights: a length's weight falls as it gets covered, and the next configuration is the knapsack of most
-weight, by dynamic programming over the capacity. The fractional solution is rounded down to whole sequences, and
-what is left over is placed best-fit, longest first, into the gaps and into new sequences.
+multiplicative weights: a length's weight falls as it gets covered, and the next configurations are those of most weight, by
+a knapsack table over the capacity (one table prices many configurations: the best with each length in it). The
+fractional solution is rounded to whole sequences, at first only to those that are full to the last token; the program is
+solved again for what is left, and so on, with wider gaps only when rounding stalls. The few pieces that remain go
+best-fit, longest first, into the gaps and into new sequences.
 
 The pieces then take the plan's places: each piece gets its rank within its length and looks up the place of that rank.
 Ranks are counted in salted groups, so no length, however frequent, meets in one task.
@@ -28,12 +30,12 @@ from pyspark.sql import functions as F
 from .common import as_bytes, read_table, saved, small_batches, steps
 
 CAPACITY, END_ID = 4096, 1
-#: Lengths are rounded up to multiples of it in the linear program; the plan's rest is placed by true lengths.
-GRAIN = 8
-#: Share of a length that one step of the weights may cover, and how sharply weights fall.
-STEP, ETA = 0.25, 4.0
-#: Share of the fractional solution that is rounded to sequences; the rest is left to fill gaps.
-SHARE = 0.5
+#: Lengths are rounded up to multiples of it in the linear program; sequences are made of true lengths.
+GRAIN = 4
+#: How sharply a length's weight falls as it gets covered.
+ETA = 0.1
+#: Rounding stalls if more than this share of the pieces is left.
+STALL = 0.85
 PIECE = "doc_id long, piece int, start long, length int, ids binary"
 
 _encoders: dict = {}
@@ -108,67 +110,111 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end:
     return docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end), PIECE)
 
 
-def best_knapsack(value: np.ndarray, capacity: int) -> list[int]:
-    """The lengths (repeats allowed) of most total value within the capacity; value[l] is that of length l."""
-    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+def knapsack(value: np.ndarray, capacity: int) -> np.ndarray:
+    """For each capacity the length to take first towards the most total value (repeats allowed), or 0 to leave one free.
+
+    value[l] is that of length l; a length of no value is never taken.
+    """
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)  # best stands in reverse
     for c in range(1, capacity + 1):
-        gain = best[c - 1 :: -1][:c] + value[1 : c + 1]
+        gain = best[capacity - c + 1 :] + value[1 : c + 1]
         k = int(gain.argmax())
-        best[c], took[c] = gain[k], k + 1
-        if best[c - 1] >= best[c]:
-            best[c], took[c] = best[c - 1], 0
-    out, c = [], capacity
+        if gain[k] > best[capacity - c + 1]:
+            best[capacity - c], took[c] = gain[k], k + 1
+        else:
+            best[capacity - c] = best[capacity - c + 1]
+    return took
+
+
+def configuration(took: np.ndarray, first: int, capacity: int) -> list[int]:
+    """The best configuration that has the length `first`."""
+    out, c = [first], capacity - first
     while c > 0:
         if took[c]:
             out.append(int(took[c]))
-            c -= took[c]
-        else:
-            c -= 1
+        c -= max(int(took[c]), 1)
     return out
 
 
-def solve(counts: np.ndarray, capacity: int, step: float = STEP, eta: float = ETA) -> list[tuple[dict[int, int], float]]:
-    """Configurations (length: how often) with fractional multiplicities that cover counts[l] of each length l."""
+def solve(counts: np.ndarray, capacity: int, eta: float = ETA) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configurations, as (length, how often) pairs, with fractional multiplicities that cover counts[l] of each length l."""
     need = counts.astype(float)
-    some = need > 0
-    covered = np.where(some, 0.0, np.inf)
+    covered = np.where(need > 0, 0.0, 1.0)
     found: dict[tuple, float] = defaultdict(float)
-    while (least := covered.min()) < 1:
-        value = np.where(some & (covered < 1), np.exp(-eta * (covered - least)) * np.arange(len(need)), 0.0)
-        lengths, times = np.unique(best_knapsack(value, capacity), return_counts=True)
-        amount = min(step * float((need[lengths] / times).min()), float(((1 - covered[lengths]) * need[lengths] / times).max()))
-        found[tuple(zip(lengths.tolist(), times.tolist(), strict=True))] += amount
-        covered[lengths] += amount * times / need[lengths]
-    return [(dict(k), v) for k, v in found.items()]
+    while len(short := np.flatnonzero(covered < 1)):
+        weight = np.exp(-eta * (covered[short] - covered[short].min()))
+        value = np.zeros(len(need))
+        value[short] = short * weight
+        took = knapsack(value, capacity)
+        for first in short[np.lexsort((-short, covered[short]))].tolist():  # the least covered first
+            lengths, times = np.unique(configuration(took, first, capacity), return_counts=True)
+            if (covered[lengths] >= 1).any():  # the table knew less than is covered by now
+                continue
+            each = (1 - covered[lengths]) * need[lengths] / times
+            amount = float(each.min())
+            covered[lengths] += amount * times / need[lengths]
+            covered[lengths[each <= amount * (1 + 1e-9)]] = 1.0
+            found[tuple(zip(lengths.tolist(), times.tolist(), strict=True))] += amount
+    return found
+
+
+def sequences(left: np.ndarray, classes: list[int], times: int, gap: int, capacity: int, grain: int) -> list[tuple[list[int], int]]:
+    """Up to `times` whole sequences of a configuration, with at most `gap` tokens free; they are taken from left.
+
+    A class k holds the lengths from (k - 1) * grain + 1 to k * grain. The two shortest are chosen together, to fill what is
+    free; the last may be longer than its class.
+    """
+
+    def longest(use: dict[int, int], most: int, k: int) -> int:
+        return next((x for x in range(min(most, capacity), (k - 1) * grain, -1) if left[x] > use.get(x, 0)), 0)
+
+    out: list[tuple[list[int], int]] = []
+    while times > 0:
+        use: dict[int, int] = defaultdict(int)
+        room = capacity
+        for k in classes[:-2]:
+            if not (x := longest(use, k * grain, k)):
+                return out
+            use[x] += 1
+            room -= x
+        pick: tuple[int, ...] = ()
+        if len(classes) > 1:
+            for x in range(min(classes[-2] * grain, room), (classes[-2] - 1) * grain, -1):
+                if left[x] > use.get(x, 0) and (y := longest(use | {x: use.get(x, 0) + 1}, room - x, classes[-1])) and x + y > sum(pick):
+                    pick = (x, y)
+        elif x := longest(use, room, classes[-1]):
+            pick = (x,)
+        if not pick or room - sum(pick) > gap:
+            return out
+        for x in pick:
+            use[x] += 1
+        many = min(times, *(int(left[x]) // n for x, n in use.items()))
+        for x, n in use.items():
+            left[x] -= many * n
+        out.append(([x for x, n in use.items() for _ in range(n)], many))
+        times -= many
+    return out
+
+
+def rounded(counts: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN) -> tuple[list[tuple[list[int], int]], np.ndarray]:
+    """(sequences rounded from the linear program as (lengths, number), counts of what is left)."""
+    left, bins, gap = counts.copy(), [], 0
+    while before := int(left.sum()):
+        coarse = np.zeros(capacity // grain + 1, np.int64)
+        np.add.at(coarse, -(-np.arange(len(left)) // grain), left)
+        for config, amount in sorted(solve(coarse, capacity // grain).items(), key=lambda x: -x[1]):
+            classes = sorted((k for k, n in config for _ in range(n)), reverse=True)
+            bins += sequences(left, classes, int(amount + 0.5), gap, capacity, grain)
+        if left.sum() > STALL * before:
+            if gap >= capacity // 100:
+                break
+            gap = max(grain, 4 * gap)
+    return bins, left
 
 
 def pack_plan(counts: np.ndarray, capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[list[int], int]]:
     """(lengths in a sequence, number of such sequences), using up counts[l] pieces of each length l exactly."""
-    left, bins = counts.copy(), []
-    coarse = np.zeros(capacity // grain + 1, np.int64)
-    np.add.at(coarse, -(-np.arange(len(counts)) // grain), counts)
-    for config, amount in sorted(solve(coarse, capacity // grain), key=lambda x: -x[1]):
-        classes, times = sorted((k for k, n in config.items() for _ in range(n)), reverse=True), int(amount * SHARE)
-        while times > 0:  # whole sequences, while every length of the configuration has pieces
-            use: dict[int, int] = {}
-            room = capacity
-            for k in classes[:-1]:
-                x = next((x for x in range(k * grain, (k - 1) * grain, -1) if left[x] > use.get(x, 0)), None)
-                if x is None:
-                    break
-                use[x] = use.get(x, 0) + 1
-                room -= x
-            else:  # the last one may be a little longer than planned, up to what rounding has left free
-                x = next((x for x in range(min(room, capacity), (classes[-1] - 1) * grain, -1) if left[x] > use.get(x, 0)), None)
-                if x is not None:
-                    use[x] = use.get(x, 0) + 1
-            if x is None:
-                break
-            many = min(times, *(int(left[x]) // n for x, n in use.items()))
-            for x, n in use.items():
-                left[x] -= many * n
-            bins.append(([x for x, n in use.items() for _ in range(n)], many))
-            times -= many
+    bins, left = rounded(counts, capacity, grain)
     return best_fit(left, bins, capacity)
 
 

@@ -69,9 +69,27 @@ def test_packing_cases(spark, docs, repeated, empty, unnamed):
 
 
 def test_packing_on_the_table(spark):
+    """The program reaches the bound, nearly all sequences come from rounding it, and plain best fit is no better."""
     rows = packing.op3_best_fit_packing(spark, "/root/testdata/sf0.01").collect()
-    least = -(-sum(r.length for r in rows) // packing.CAPACITY)
-    assert least <= check_places(rows) <= 1.01 * least + 1
+    counts = np.bincount([r.length for r in rows], minlength=packing.CAPACITY + 1)
+    bound = sum(r.length for r in rows) / packing.CAPACITY
+    plain = sum(n for _, n in packing.best_fit(counts.copy(), [], packing.CAPACITY))
+    assert -(-bound // 1) <= check_places(rows) <= plain
+    coarse = np.bincount(-(-np.arange(len(counts)) // packing.GRAIN), weights=counts)
+    assert bound <= sum(packing.solve(coarse, packing.CAPACITY // packing.GRAIN).values()) <= 1.005 * bound
+    assert sum(n for _, n in packing.rounded(counts)[0]) > 0.9 * plain
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.integers(1, 64), min_size=1, max_size=60), st.integers(1, 50))
+def test_the_programs_solution_covers_each_length(lengths, times):
+    counts = np.bincount(lengths, minlength=65) * times
+    covered = np.zeros(65)
+    for config, amount in packing.solve(counts, 64).items():
+        assert sum(x * n for x, n in config) <= 64 and amount > 0
+        for x, n in config:
+            covered[x] += n * amount
+    assert np.allclose(covered, counts)
 
 
 @settings(max_examples=25, deadline=None)
