@@ -14,6 +14,13 @@ are dealt by the 3 bytes before the last one, so all runs of a context of 3 to 5
 counted runs, where each run's own occurrence is taken out of the counts first; eight learners or more (one for every SHARE
 distinct runs) work on a share of the runs each, and their results are averaged by weight.
 
+Recurring words. Before a word there may be one bit more: whether it is the word that a longer context foretells. The context
+is the hash of the two words before, kept (with a check of 64 bits, in a table that grows with the corpus) for one in ANCHORS
+of them, with the up to AHEAD words that follow it most often. The bit's probability comes from an adaptive table over
+its state: how often the context came, whether the corpus agrees on what follows, and how many words were foretold rightly
+in a row. A word foretold costs that bit only, any other the bit and its bytes. A text that is learned from is not counted for
+itself: its own occurrence is taken out of a context's count. So copies and stock passages cost little, by their real evidence.
+
 Scoring. Each distinct run of the texts is priced once; the prices meet the runs of each block of texts (ROWS rows of a file)
 in a join, and go to the block's texts. Nothing is learned then, so a score depends on the text and the training texts only.
 
@@ -38,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read_table, saved, small_batches, steps
+from .common import as_bytes, mix, read_table, saved, small_batches, steps, word_hashes
 
 ORDERS = 5
 #: Learners at least, distinct runs from which there are more, gates, places of the adaptive table along the log odds.
@@ -50,6 +57,8 @@ RATE, BATCH = 0.1, 1000
 TOP = 150_000
 #: Words or runs that a task holds before it hands on their counts.
 HELD = 200_000
+#: One context of two words in so many is kept, with up to so many words after it; states: words foretold in a row, count.
+ANCHORS, AHEAD, ROWED, COUNTED = 8, 16, 8, 4
 #: Rows of a file whose texts get their prices together, runs of a block that a task holds, runs that are priced at once.
 ROWS, KEPT, CHUNK = 8192, 1_500_000, 100_000
 
@@ -191,6 +200,90 @@ class Mixer:
                 self.refine += (0.5 * up / (of + 4)).reshape(256, PLACES).astype(np.float32)
 
 
+@dataclass
+class Words:
+    """The words of some texts: whose they are, where their bytes begin, short hashes, and the contexts that are kept."""
+
+    owner: np.ndarray
+    starts: np.ndarray
+    short: np.ndarray
+    anchors: np.ndarray  # the words before which a kept context stands
+    contexts: np.ndarray
+    lengths: np.ndarray  # words up to the next kept context, AHEAD at most
+
+    @classmethod
+    def of(cls, texts: list[bytes]) -> Words:
+        """texts as plain() makes them; a text's last word is another word than elsewhere, as the end follows it."""
+        lists = [t.split(b" ") for t in texts]
+        counts = np.array([len(x) for x in lists], np.int64)
+        owner = np.repeat(np.arange(len(texts)), counts)
+        sizes = np.fromiter((len(w) + 1 for x in lists for w in x), np.int64, len(owner))
+        h = np.concatenate([word_hashes(x) for x in lists] or [np.empty(0, np.uint64)])
+        upto = np.cumsum(counts)
+        h[upto - 1] = mix(h[upto - 1] + np.uint64(1))
+        first = upto - counts
+        before = np.concatenate([h[:1], h[:-1]])
+        before[first] = 7
+        two = np.concatenate([before[:1], before[:-1]])
+        two[first] = 9
+        with np.errstate(over="ignore"):
+            context = mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + two * np.uint64(0x165667B19E3779F9))
+        at = np.flatnonzero(context % np.uint64(ANCHORS) == 0)
+        ends = np.minimum(np.append(at[1:], len(h)), upto[owner[at]])
+        return cls(owner, np.cumsum(sizes) - sizes, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, context[at].view(np.int64), np.minimum(ends - at, AHEAD))
+
+    def after(self) -> list[bytes]:
+        """What follows each kept context: short hashes, 4 bytes each."""
+        line = self.short.tobytes()
+        return [line[4 * a : 4 * (a + n)] for a, n in zip(self.anchors.tolist(), self.lengths.tolist(), strict=True)]
+
+
+class Foretold:
+    """A block's kept contexts, with what follows them and how often they came."""
+
+    def __init__(self, contexts: np.ndarray, after: list[bytes], n: np.ndarray, agreed: np.ndarray) -> None:
+        self.contexts, first = np.unique(contexts, return_index=True)
+        self.n, self.agreed = n[first], agreed[first]
+        self.sizes = np.array([len(after[i]) // 4 for i in first], np.int64)
+        self.after = np.zeros((len(first), AHEAD), np.uint32)
+        for row, i in enumerate(first.tolist()):
+            self.after[row, : self.sizes[row]] = np.frombuffer(after[i], np.uint32)
+
+    def states(self, words: Words, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its state (-1: nothing is foretold) and whether it is the word foretold."""
+        state, hit = np.full(len(words.short), -1), np.zeros(len(words.short), bool)
+        if not len(self.contexts) or not len(words.anchors):
+            return state, hit
+        row = np.minimum(np.searchsorted(self.contexts, words.contexts), len(self.contexts) - 1)
+        found = np.flatnonzero(self.contexts[row] == words.contexts)
+        row, at, size = row[found], words.anchors[found], words.lengths[found]
+        n = self.n[row].copy()
+        same = self.sizes[row] == size
+        for k in range(AHEAD):  # is it the text's own occurrence?
+            some = k < size
+            same[some] &= self.after[row[some], k] == words.short[at[some] + k]
+        n -= same & learned[words.owner[at]]
+        base = np.where(self.agreed[row], COUNTED, 0) + np.clip(n, 1, COUNTED) - 1
+        going = n > 0
+        for k in range(AHEAD):
+            going = going & (k < size) & (k < self.sizes[row])
+            spot = at[going] + k
+            right = self.after[row[going], k] == words.short[spot]
+            state[spot], hit[spot] = base[going], right
+            going[going] = right
+        told = np.flatnonzero(state >= 0)
+        place = np.arange(len(told))
+        reset = np.zeros(len(told), np.int64)  # the first place since a miss or the text's beginning
+        new = np.ones(len(told), bool)
+        new[1:] = (words.owner[told[1:]] != words.owner[told[:-1]]) | ~hit[told[:-1]]
+        reset = np.maximum.accumulate(np.where(new, place, 0))
+        state[told] += np.minimum(place - reset, ROWED - 1) * 2 * COUNTED
+        return state, hit
+
+
+STATES = ROWED * 2 * COUNTED
+
+
 class Prices:
     """The price of each of a block's runs, in hash tables: what finds its place taken goes to the next, smaller table."""
 
@@ -270,6 +363,25 @@ def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _block_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept contexts of each block with what follows them: n times in texts that are learned from, u times in others."""
+    for batch in steps(batches):
+        texts = [plain(t) for t in as_bytes(batch.column("text"))]
+        words = Words.of(texts)
+        after = words.after()
+        if not after:
+            continue
+        block, learned = batch.column("block").to_numpy()[words.owner[words.anchors]], batch.column("learned").to_numpy(zero_copy_only=False)[words.owner[words.anchors]]
+        what = word_hashes(after)
+        order = np.lexsort((what, words.contexts, block))
+        b, c, w = block[order], words.contexts[order], what[order]
+        lead = np.ones(len(order), bool)
+        lead[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        at = np.flatnonzero(lead)
+        n, u = (np.add.reduceat(x[order].astype(np.int64), at) for x in (learned, ~learned))
+        yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(c[at]), pa.array([after[i] for i in order[at].tolist()], pa.binary()), pa.array(n), pa.array(u)], ["block", "context", "after", "n", "u"])
+
+
 def _context() -> Column:
     """The 3 bytes before a run's last one."""
     return F.shiftrightunsigned("run", 8).bitwiseAND(F.lit(0xFFFFFF))
@@ -327,6 +439,36 @@ def _price(model):
     return run
 
 
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The kept contexts of each block as bytes: context, count and whether all agree; and what follows, one by one."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        block = batch.column("block").to_numpy()
+        order = np.argsort(block, kind="stable")
+        block = block[order]
+        table = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[order] for k in ("context", "total", "agreed")], axis=1)
+        after = as_bytes(batch.column("after"))
+        cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
+        spans = list(zip(cuts, cuts[1:], strict=False))
+        rows = [[after[i] for i in order[a:b].tolist()] for a, b in spans]
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([table[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(rows, pa.list_(pa.binary()))], ["block", "told", "after"])
+
+
+def foretold(texts: DataFrame) -> DataFrame:
+    """block, told and after (see _told), for the contexts of each block of which the corpus tells something.
+
+    Contexts are counted by sums and greatest values, which Spark combines before the shuffle, so a context in every text is no
+    hot key; each block gets a context once for each step of it.
+    """
+    met = saved(texts.select("block", "text", "learned").mapInArrow(_block_contexts, "block long, context long, after binary, n long, u long"))
+    each = met.groupBy("context", "after").agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
+    known = each.groupBy("context").agg(F.sum("n").alias("all"), F.sum("u").alias("others"), F.max(F.struct("n", "after")).alias("best"))
+    known = known.where("all > 1 or (all > 0 and others > 0)")
+    known = known.select("context", F.col("best.n").alias("total"), (F.col("best.n") == F.col("all")).alias("agreed"), F.col("best.after").alias("after"))
+    return met.select("block", "context").join(known, "context").mapInArrow(_told, "block long, told binary, after array<binary>")
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The runs of each block and their prices, as bytes."""
     held: list[tuple[np.ndarray, ...]] = []
@@ -388,10 +530,12 @@ def priced(mixer: Mixer) -> DataFrame:
 _top: dict[str, dict] = {}
 
 
-def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, pa.RecordBatch]]:
-    """Each block's texts, a step at a time, with its prices, which come first."""
+def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, Foretold, pa.RecordBatch]]:
+    """Each block's texts, a step at a time, with its prices and contexts, which come first."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
-    prices = block = None
+    tables: list[np.ndarray] = []
+    after: list[bytes] = []
+    prices = told = block = None
     for batch in batches:
         blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
         cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
@@ -399,16 +543,22 @@ def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, pa
             if at == to:
                 continue
             if blocks[at] != block:
-                held, prices, block = [], None, blocks[at]
+                held, tables, after, prices, block = [], [], [], None, blocks[at]
             part = batch.slice(at, to - at)
+            if kinds[at] == 1:
+                tables += [np.frombuffer(x, np.int64).reshape(-1, 3) for x in as_bytes(part.column("told"))]
+                after += [x for row in part.column("after").to_pylist() for x in row]
+                continue
             if not kinds[at]:
                 held += [(np.frombuffer(r, np.int64), np.frombuffer(c, np.float32)) for r, c in zip(as_bytes(part.column("runs")), as_bytes(part.column("costs")), strict=True)]
                 continue
             if prices is None:
                 runs, costs = (np.concatenate(x) for x in zip(*held, strict=True))
                 prices, held = Prices(runs.astype(np.uint64), costs), []
+                table = np.concatenate(tables or [np.empty((0, 3), np.int64)])
+                told, tables, after = Foretold(table[:, 0], after, table[:, 1], table[:, 2] > 0), [], []
             for some in steps(iter([part]), most=1 << 20):
-                yield prices, some
+                yield prices, told, some
 
 
 def _score(top, key: str):
@@ -418,10 +568,20 @@ def _score(top, key: str):
             _top[key] = dict(top.value)
         counts = _top[key]
         row, first = 0, TaskContext.get().partitionId() << 40
-        for prices, batch in _with_prices(batches):
+        for prices, told, batch in _with_prices(batches):
             texts = as_bytes(batch.column("text"))
-            runs, sizes = runs_of([plain(t) for t in texts])
-            score = np.add.reduceat(prices.cost(runs), np.cumsum(sizes) - sizes)
+            lines = [plain(t) for t in texts]
+            runs, sizes = runs_of(lines)
+            of = Words.of(lines)
+            state, hit = told.states(of, batch.column("learned").to_numpy(zero_copy_only=False))
+            spelled = np.where(hit, 0.0, np.add.reduceat(prices.cost(runs), of.starts))
+            score = np.bincount(of.owner, weights=spelled, minlength=len(texts))
+            seen = np.flatnonzero(state >= 0)
+            cell, count = np.unique((of.owner[seen] * STATES + state[seen]) * 2 + hit[seen], return_counts=True)
+            cuts = np.searchsorted(cell, np.arange(len(texts) + 1) * 2 * STATES)
+            cell = cell % (2 * STATES)
+            bits = [[{"bit": b, "n": n} for b, n in zip(cell[a:z].tolist(), count[a:z].tolist(), strict=True)] for a, z in zip(cuts, cuts[1:], strict=False)]
+            bits = pa.array(bits, pa.list_(pa.struct([("bit", pa.int32()), ("n", pa.int64())])))
             tokens, known, base, rare = [], [], [], []
             for text in texts:
                 words = text.lower().split() if text else []
@@ -435,7 +595,7 @@ def _score(top, key: str):
             rare = pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], kind)
             keys = pa.array(np.arange(first + row, first + row + len(texts)))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes), rare], ["row", "doc_id", "words", "known", "base", "score", "bytes", "rare"])
+            yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes), rare, batch.column("learned"), bits], ["row", "doc_id", "words", "known", "base", "score", "bytes", "rare", "learned", "bits"])
 
     return run
 
@@ -460,6 +620,16 @@ def frequent(counts: DataFrame, most: int = TOP) -> dict[bytes, int]:
     return {bytes(r["word"]): r["n"] for r in counts.where(band >= least).collect()}
 
 
+def bit_costs(scored: DataFrame) -> list[float]:
+    """log10 of the probability of each state's bit (0: the word is another, 1: it is the one foretold), as learned."""
+    seen = np.zeros(2 * STATES)
+    rows = scored.where("learned").select(F.explode("bits").alias("b")).groupBy("b.bit").agg(F.sum("b.n").alias("n"))
+    for r in rows.collect():  # 2 * STATES at most
+        seen[r["bit"]] = r["n"]
+    share = (seen + 0.4).reshape(-1, 2)
+    return np.log10(share / share.sum(axis=1, keepdims=True)).ravel().tolist()
+
+
 def score_texts(docs: DataFrame, train_on: Column, top: int = TOP, block: Column | None = None) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -475,13 +645,16 @@ def score_texts(docs: DataFrame, train_on: Column, top: int = TOP, block: Column
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = frequent(counts, top)
     share = spark.sparkContext.broadcast
-    schema = "row long, doc_id long, words long, known long, base double, score double, bytes long, rare array<struct<word: binary, n: int>>"
+    schema = "row long, doc_id long, words long, known long, base double, score double, bytes long, rare array<struct<word: binary, n: int>>, learned boolean, bits array<struct<bit: int, n: long>>"
     pairs = block_runs(texts)
     prices = pairs.select("block", "run").join(priced(fit(pairs)), "run").select("block", "run", "cost").mapInArrow(_packed, "block long, runs binary, costs binary")
-    both = prices.withColumn("kind", F.lit(0)).unionByName(texts.select("block", "doc_id", "text", F.lit(1).alias("kind")), allowMissingColumns=True)
-    met = both.select("block", "kind", "doc_id", "text", "runs", "costs").repartition("block").sortWithinPartitions("block", "kind")
+    both = prices.withColumn("kind", F.lit(0)).unionByName(foretold(texts).withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    both = both.unionByName(texts.select("block", "doc_id", "text", "learned", F.lit(2).alias("kind")), allowMissingColumns=True)
+    met = both.select("block", "kind", "doc_id", "text", "learned", "runs", "costs", "told", "after").repartition("block").sortWithinPartitions("block", "kind")
     scored = met.mapInArrow(_score(share(list(common.items())), uuid.uuid4().hex), schema)
     scored = saved(scored)
+    cost = F.aggregate("bits", F.lit(0.0), lambda total, x: total + x["n"] * F.element_at(F.array(*map(F.lit, bit_costs(scored))), x["bit"] + 1))
+    score = F.col("score") + cost
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", F.col("r.word").alias("word"), F.col("r.n").alias("times"))
     met = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("extra"))
     end = common.get(b"")
@@ -491,8 +664,8 @@ def score_texts(docs: DataFrame, train_on: Column, top: int = TOP, block: Column
     base = F.col("base") + F.coalesce("extra", F.lit(0.0)) + float(np.log10(end + 1)) - n_tokens * float(np.log10(total + kinds + 1))
     return scored.join(met, "row", "left").select(
         "doc_id", n_tokens.alias("n_tokens"), (F.col("known") + F.coalesce("more", F.lit(0)) + int(end > 0)).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
-        (-F.col("score") * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"),
+        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"),
+        (-score * float(np.log2(10)) / F.col("bytes")).alias("bits_per_byte"),
     )
 
 

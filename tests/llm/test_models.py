@@ -107,6 +107,72 @@ def test_lm_counts_stay_apart(spark):
     assert got[got.doc_id >= 0].bits_per_byte.mean() < 1 and got[got.doc_id < 0].bits_per_byte.mean() > 4
 
 
+def foretold_plainly(lines, learned):
+    """(state, hit) of every word of every line, by loops over tuples of words."""
+    words = lm.Words.of(lines)
+    kept = dict(zip(words.anchors.tolist(), zip(words.contexts.tolist(), words.lengths.tolist(), strict=True), strict=True))
+    after = {a: tuple(words.short[a : a + n].tolist()) for a, (_, n) in kept.items()}
+    table = {}
+    for a, (c, _) in kept.items():
+        if learned[words.owner[a]]:
+            table.setdefault(c, Counter())[after[a]] += 1
+    out, told, row = [], None, 0
+    for i in range(len(words.short)):
+        if not i or words.owner[i] != words.owner[i - 1]:
+            told, row = None, 0
+        if i in kept:
+            told, counts = None, table.get(kept[i][0], Counter())
+            if counts:
+                best = max(counts, key=lambda x: (counts[x], b"".join(w.to_bytes(4, "little") for w in x)))
+                n, agreed = counts[best], len(counts) == 1
+                n -= bool(learned[words.owner[i]]) and best == after[i]
+                told = (iter(best), agreed * lm.COUNTED + min(n, lm.COUNTED) - 1) if n > 0 else None
+        word = next(told[0], None) if told else None
+        if word is None:
+            told = None
+            out.append((-1, False))
+            continue
+        hit = word == words.short[i]
+        out.append((told[1] + min(row, lm.ROWED - 1) * 2 * lm.COUNTED, hit))
+        row, told = (row + 1, told) if hit else (0, None)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lm_foretells_recurring_words(spark, seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    pieces = [" ".join(f"w{x}" for x in rng.integers(0, 90, rng.integers(3, 60))) for _ in range(6)]
+    lines = [lm.plain(" ".join(pieces[k] for k in rng.integers(0, 6, rng.integers(0, 8))).encode()) for _ in range(30)]
+    learned = rng.random(30) < 0.7
+    df = spark.createDataFrame([(i % 2, t.decode(), bool(y)) for i, (t, y) in enumerate(zip(lines, learned, strict=True))], "block long, text string, learned boolean").repartition(3)
+    got = {}
+    for r in lm.foretold(df).collect():
+        got.setdefault(r.block, ([], []))
+        got[r.block][0].append(np.frombuffer(r.told, np.int64).reshape(-1, 3))
+        got[r.block][1].extend(map(bytes, r.after))
+    want = foretold_plainly(lines, learned)
+    owner = lm.Words.of(lines).owner
+    assert sum(s >= 0 for s, _ in want) > 100 and any(h for _, h in want)
+    for block, (tables, after) in got.items():
+        some = [i for i in range(30) if i % 2 == block]
+        t = np.concatenate(tables)
+        state, hit = lm.Foretold(t[:, 0], after, t[:, 1], t[:, 2] > 0).states(lm.Words.of([lines[i] for i in some]), learned[some])
+        assert list(zip(state.tolist(), hit.tolist(), strict=True)) == [x for x, o in zip(want, owner, strict=True) if o in some]
+
+
+def test_lm_scores_do_not_depend_on_neighbours(spark):
+    d = spark.read.parquet(f"{SMALL}/documents.parquet")
+    a, b = ({r.doc_id: r.score for r in lm.score_texts(d.repartition(n, "doc_id"), ~lm._remainder()).collect()} for n in (1, 7))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], rel=2e-3) for i in a)
+
+
+def test_lm_beats_the_unigram_on_texts_it_did_not_learn(spark):
+    got = lm.op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
+    assert got.score.sum() > 0.95 * got.base_score.sum()
+
+
 def test_lm_cases(spark, docs, empty, repeated, unnamed):
     assert lm.score_texts(empty, ~lm._remainder()).collect() == []
     got = lm.score_texts(docs, ~lm._remainder()).collect()
