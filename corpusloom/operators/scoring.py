@@ -69,3 +69,9 @@ def vote(proposals: DataFrame, primary: tuple = PRIMARY, technical: tuple = TECH
     same = F.col("agreeing") == F.col("sources")
     held = held.where("sources >= 2").withColumn("consensus_type", F.when(same, "UNANIMOUS").when(F.col("by_authority"), "AUTHORITY_OVERRIDE").otherwise("MAJORITY"))
     return held.withColumn("confidence", F.when(same, "HIGH").when(F.col("agreeing") > F.expr("sources div 2"), "MEDIUM").otherwise("LOW")).drop("by_authority")
+
+
+def overridden(votes: DataFrame, overrides: DataFrame) -> DataFrame:
+    """The votes, and for each override (work, structure, reviewer) of a vote one row more: its structure by hand, held for certain."""
+    made = votes.join(overrides, "work").withColumn("consensus", F.col("structure")).withColumn("consensus_type", F.lit("MANUAL")).withColumn("confidence", F.lit("HIGH")).drop("structure")
+    return votes.withColumn("reviewer", F.lit(None).cast("string")).unionByName(made)

@@ -53,6 +53,11 @@ def percent(part: Column, whole: Column, digits: int = 1) -> Column:
     return F.round(100.0 * part / F.nullif(whole, F.lit(0)), digits)
 
 
+def insert(old: DataFrame, new: DataFrame) -> DataFrame:
+    """All rows of both, by column name."""
+    return old.unionByName(new)
+
+
 def insert_ignore(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     """Rows to append: those whose key is not there, one for each key (the least row)."""
     fresh = new.join(old.select(*keys), keys, "left_anti")

@@ -1,158 +1,161 @@
 """HTML pages to title and text: boilerplate off, one content element chosen, blocks on lines, links by policy.
 
-The parser is Python's own; pages are handled in Arrow batches, each by itself.
+A page is read once into a flat row of tokens, in which each start tag knows where its element ends. What goes, what is chosen
+and what is written are then ranges of that row. The parser is Python's own; pages are handled in Arrow batches, each by
+itself.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-# Elements that go, elements that end a line, elements without an end tag, labels of language switches.
+# Elements that go, elements on lines of their own, elements without an end tag, labels of language switches,
+# words with which navigation begins, and content elements by preference.
 DROPPED = {"script", "style", "nav", "footer", "header", "form", "aside", "noscript"}
-BLOCKS = {"p", "div", "section", "article", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
+BLOCKS = {"p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 VOID = {"br", "img", "meta", "link", "input", "hr", "area", "base", "col", "embed", "source", "track", "wbr"}
 SWITCHES = {"english", "devanagari", "tamil", "telugu", "kannada", "malayalam", "sanskrit", "hindi", "word division"}
-NAVIGATION = re.compile(r"^(?:meaning\s+of\s+kriti|notation|click\s+here|back\s+to|home\s*page|pronunciation\s+guide|word\s+by\s+word\s+meaning)", re.I)
-#: Content elements by preference: (tag, attribute, value).
-CONTENT = (("div", "class", "post-body"), ("article", "", ""), ("main", "", ""), ("div", "id", "content"))
-MOST_CHARS = 120_000
+NAVIGATION = re.compile(r"(?:meaning\s+of\s+kriti|notation|click\s+here|back\s+to|home\s*page|pronunciation\s+guide|word\s+by\s+word\s+meaning)", re.I)
+CONTENT = (("div", "post-body"), ("div", "post"), ("article", ""), ("div", "post-content"))
 
 
-class Node:
-    __slots__ = ("attrs", "children", "tag")
+@dataclass
+class Token:
+    """A start tag (with the place behind its element), or a piece of text (tag is empty)."""
 
-    def __init__(self, tag: str, attrs: dict[str, str]) -> None:
-        self.tag, self.attrs, self.children = tag, attrs, []
+    tag: str
+    text: str = ""
+    attrs: dict[str, str] = field(default_factory=dict)
+    end: int = 0
 
-    def walk(self) -> Iterator[Node]:
-        stack = [self]
-        while stack:
-            node = stack.pop()
-            yield node
-            stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
-    def strings(self) -> list[str]:
-        out, stack = [], [self]
-        while stack:
-            node = stack.pop()
-            if isinstance(node, str):
-                if node.strip():
-                    out.append(node.strip())
-            else:
-                stack += reversed(node.children)
-        return out
+class Tokens(HTMLParser):
+    """An end tag closes up to its start, if there is one; what is left open ends with the page."""
 
-
-class Tree(HTMLParser):
-    """A tolerant tree: an end tag closes up to its start, if there is one."""
-
-    def __init__(self) -> None:
+    def __init__(self, page: str) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = Node("", {})
-        self.open = [self.root]
+        self.row: list[Token] = []
+        self.open: list[int] = []
+        self.feed(page)
+        self.close()
+        self._shut(0)
+
+    def _shut(self, depth: int) -> None:
+        for at in self.open[depth:]:
+            self.row[at].end = len(self.row)
+        del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in ("p", "li", "tr", "td") and self.open[-1].tag == tag:
-            self.open.pop()
-        node = Node(tag, {k: v or "" for k, v in attrs})
-        self.open[-1].children.append(node)
+        self.row.append(Token(tag, attrs={k: v or "" for k, v in attrs}, end=len(self.row) + 1))
         if tag not in VOID:
-            self.open.append(node)
+            self.open.append(len(self.row) - 1)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag == tag:
-                del self.open[k:]
-                break
+        depth = next((k for k in range(len(self.open) - 1, -1, -1) if self.row[self.open[k]].tag == tag), None)
+        if depth is not None:
+            self._shut(depth)
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        if piece := data.strip():
+            self.row.append(Token("", piece))
 
 
-def _language_switch(node: Node) -> bool:
-    if node.tag != "table":
-        return False
-    if node.attrs.get("id", "").strip().lower() in SWITCHES:
-        return True
-    cells = [n for n in node.walk() if n.tag == "td"]
-    named = sum("".join(n.strings()).lower() in SWITCHES for n in cells)
-    return bool(cells) and 2 * named >= len(cells)
-
-
-def _prune(node: Node) -> None:
-    for n in node.walk():
-        n.children = [c for c in n.children if isinstance(c, str) or not (c.tag in DROPPED or _language_switch(c))]
-
-
-def _content(root: Node) -> Node:
-    nodes = list(root.walk())
-    for tag, key, value in CONTENT:
-        for n in nodes:
-            if n.tag == tag and (not key or value in n.attrs.get(key, "").split()) and n.strings():
-                return n
-    return next((n for n in nodes if n.tag == "body"), root)
-
-
-def _write(root: Node, base: str | None) -> str:
-    out: list[str] = []
-
-    def line() -> None:
-        if out and not out[-1].endswith("\n"):
-            out.append("\n")
-
-    def text(s: str) -> None:
-        if s := s.strip():
-            if out and out[-1][-1] not in "\n ":
-                out.append(" ")
-            out.append(s)
-
-    stack: list = [root]
-    while stack:
-        node = stack.pop()
-        if node is None:
-            line()
-        elif isinstance(node, str):
-            text(node)
-        elif node.tag == "br":
-            line()
-        elif node.tag == "a":
-            label, href = " ".join(node.strings()), node.attrs.get("href", "").strip()
-            if label and not NAVIGATION.match(label):
-                near = href.startswith("#") or bool(base and href.startswith(base)) or not href
-                text(label if near else f"{label} ({urljoin(base or '', href)})")
-        else:
-            block = node.tag in BLOCKS
-            if block:
-                line()
-                stack.append(None)
-            stack += reversed(node.children)
-    return "".join(out)
+def _texts(row: list[Token], start: int, end: int) -> list[str]:
+    return [x.text for x in row[start:end] if not x.tag]
 
 
-def extract(html: str | None, base: str | None = None) -> tuple[str | None, str]:
-    """(title, text) of a page."""
-    tree = Tree()
-    tree.feed(html or "")
-    title = next((" ".join(n.strings()) for n in tree.root.walk() if n.tag == "title"), "") or None
-    for n in tree.root.walk():
-        n.children = [c for c in n.children if isinstance(c, str) or c.tag != "title"]
-    _prune(tree.root)
-    raw = re.sub(r" +", " ", re.sub(r"[\t\x0b\x0c\r]+", " ", _write(_content(tree.root), base)))
-    return title, re.sub(r"\n\s*\n+", "\n\n", raw).strip()[:MOST_CHARS]
+def _is_switch(row: list[Token], at: int) -> bool:
+    """A table of language links: named like one, or with a language in half of its cells or more."""
+    if row[at].attrs.get("id", "").strip().lower() in SWITCHES:
+        return True
+    cells = [k for k in range(at, row[at].end) if row[k].tag == "td"]
+    return bool(cells) and 2 * sum("".join(_texts(row, k, row[k].end)).lower() in SWITCHES for k in cells) >= len(cells)
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, title and text of pages(page_id, url, html)."""
+def _without(row: list[Token], gone) -> list[Token]:
+    """The row without the elements at whose start gone(place) holds; ends are set anew."""
+    keep, at = [], 0
+    while at < len(row):
+        if row[at].tag and gone(at):
+            at = row[at].end
+        else:
+            keep.append(at)
+            at += 1
+    place = {old: new for new, old in enumerate(keep)}
+    before = [0] * (len(row) + 1)
+    for k in range(len(row)):
+        before[k + 1] = before[k] + (k in place)
+    return [Token(x.tag, x.text, x.attrs, before[x.end]) for x in (row[k] for k in keep)]
+
+
+def _chosen(row: list[Token]) -> tuple[int, int]:
+    """The range of the content element: the first of a kind, if it has text; else the body, else all."""
+    for tag, name in CONTENT:
+        first = next((k for k, x in enumerate(row) if x.tag == tag and (not name or name in x.attrs.get("class", "").split())), None)
+        if first is not None and _texts(row, first, row[first].end):
+            return first, row[first].end
+    return next(((k, x.end) for k, x in enumerate(row) if x.tag == "body"), (0, len(row)))
+
+
+def _link(label: str, href: str, base: str | None) -> str:
+    """A link's words; its address behind them, unless it stays on the page."""
+    stays = href.startswith("#") or (bool(base) and href.startswith(base))
+    address = urljoin(base, href) if base and href else href
+    return label if stays or not address else f"{label} ({address})"
+
+
+def _lines(row: list[Token], start: int, end: int, base: str | None) -> str:
+    """Pieces side by side; a new line where a block begins or ends, and at a line break."""
+    lines: list[list[str]] = [[]]
+    ends: set[int] = set()
+    at = start
+    while at < end:
+        if at in ends:
+            lines.append([])
+        token = row[at]
+        at += 1
+        if not token.tag:
+            lines[-1].append(token.text)
+        elif token.tag == "br":
+            lines.append([])
+        elif token.tag == "a":
+            label = " ".join(_texts(row, at, token.end))
+            if label and not NAVIGATION.match(label):
+                lines[-1].append(_link(label, token.attrs.get("href", "").strip(), base))
+            if any(e in ends for e in range(at, token.end)):  # a block that ends within the link
+                lines.append([])
+            at = token.end
+        elif token.tag in BLOCKS:
+            lines.append([])
+            ends.add(token.end)
+    return "\n".join(" ".join(pieces) for pieces in lines if pieces)
+
+
+def extract(html: str | None, base: str | None = None, most: int | None = None) -> tuple[str | None, str]:
+    """(title, text) of a page; `most` cuts the text to so many characters."""
+    row = Tokens(html or "").row
+    row = _without(row, lambda at: row[at].tag in DROPPED)
+    row = _without(row, lambda at: row[at].tag == "table" and _is_switch(row, at))
+    title = next(("".join(_texts(row, k, x.end)) for k, x in enumerate(row) if x.tag == "title"), "") or None
+    row = _without(row, lambda at: row[at].tag == "title")
+    start, end = _chosen(row)
+    text = re.sub(r" +", " ", re.sub(r"[\t\x0b\x0c\r]+", " ", _lines(row, start, end, base)))
+    return title, re.sub(r"\n\s*\n+", "\n\n", text).strip()[:most]
+
+
+def extract_pages(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, title and text of pages(page_id, url, html), whole unless `most` characters are asked for."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            made = [extract(h, u) for h, u in zip(batch["html"], batch["url"], strict=True)]
+            made = [extract(h, u, most) for h, u in zip(batch["html"], batch["url"], strict=True)]
             yield pd.DataFrame({"page_id": batch["page_id"], "title": [m[0] for m in made], "text": [m[1] for m in made]})
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, title string, text string")

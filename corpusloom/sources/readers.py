@@ -43,11 +43,19 @@ def payloads(rows: DataFrame, column: str = "payload", schema: str = EXTRACTION)
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """path and html of local or remote files."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("html"))
+    return html_of(spark.read.format("binaryFile").load(path))
+
+
+def html_of(files: DataFrame) -> DataFrame:
+    return files.select("path", F.decode("content", "UTF-8").alias("html"))
 
 
 def flagged_report(spark: SparkSession, path: str) -> DataFrame:
-    """id and category of each line of a report like ``- `id`: category``."""
+    return flagged(spark.read.text(path))
+
+
+def flagged(lines: DataFrame) -> DataFrame:
+    """id and category of each line (value) of a report like ``- `id`: category``."""
     pattern = r"`?([0-9a-fA-F]{8}-[0-9a-fA-F-]{27})`?[^A-Za-z]*([A-Za-z][\w-]*)?"
-    df = spark.read.text(path).select(F.regexp_extract("value", pattern, 1).alias("id"), F.nullif(F.regexp_extract("value", pattern, 2), F.lit("")).alias("category"))
+    df = lines.select(F.regexp_extract("value", pattern, 1).alias("id"), F.nullif(F.regexp_extract("value", pattern, 2), F.lit("")).alias("category"))
     return df.where("id <> ''").groupBy("id").agg(F.min("category").alias("category"))

@@ -113,3 +113,17 @@ def test_detected_duplicates(spark):
 def test_import_match_takes_the_highest_score(spark):
     pairs = spark.createDataFrame([("a", 1, 80, True), ("a", 2, 91, False), ("b", 1, 90, False), ("c", 3, 76, True), ("c", 2, 76, True)], "name string, id int, score int, same_owner boolean")
     assert sorted(tuple(r) for r in linkage.import_match(pairs, "name").select("name", "id").collect()) == [("a", 2), ("c", 2)]
+
+
+def test_headers_of_every_script(spark):
+    from corpusloom.operators import headers
+
+    cases = {
+        "• Pallavi -": "PALLAVI", "ANUPALLAVI": "ANUPALLAVI", "charan. am 2": "CHARANAM", "caraṇam": "CHARANAM", "Samasti Caranam": "SAMASHTI_CHARANAM", "(madhyama kAla sAhityam)": "MADHYAMA_KALA", "m.k": "MADHYAMA_KALA",
+        "svara sAhitya 3": "SWARA_SAHITYA", "ஸ்வர ஸாஹித்ய 2": "SWARA_SAHITYA", "C12 rAjillu": "CHARANAM", "c12 rAjillu": None, "P": "PALLAVI", "a.": "ANUPALLAVI", "Ch :": "CHARANAM", "ப": "PALLAVI", "ப 4 ரதாக்": None,
+        "चरणम्": "CHARANAM", "समष्टि चरणम्": "SAMASHTI_CHARANAM", "చరణం": "CHARANAM", "చరణమ్ x": "CHARANAM", "ಚರಣ": "CHARANAM", "ചരണം": "CHARANAM", "ஸமஷ்டி சரணம்": "SAMASHTI_CHARANAM", "(ಮಧ್ಯಮ ಕಾಲ ಸಾಹಿತ್ಯಂ)": "MADHYAMA_KALA",
+        "ಮಧ್ಯಮ ಕಾಲ ಸಾಹಿತ್ಯಂ": None, "[SOLKATTU_SWARA]": "SOLKATTU_SWARA", "Word Division": "WORD_DIVISION", "Tamil - Word Division": "WORD_DIVISION", "Kannada –": "KANNADA", "roman: x": "LATIN", "Tamil poets": None, "pallavis": None, "gist": "GIST", "Notes on it": "NOTES", "A jagadamba": None,
+    }
+    df = spark.createDataFrame([(i, line) for i, line in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.label for r in headers.labelled(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
