@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one step of an Arrow function works on at a time; a longer text is a step of its own.
@@ -24,10 +24,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session: the one that the cluster names in spark.checkpoint.dir, else one of our own."""
+    """The checkpoint folder of the session: the one that the cluster names in spark.checkpoint.dir, else, where driver and tasks
+    are one process (as in tests), one of our own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="corpusloom-"))
     return sc.getCheckpointDir()
 
 
@@ -46,6 +50,15 @@ def least_hashed(df: DataFrame, n: int, *keys: str, count: int | None = None) ->
     return df.where(F.pmod(spread, F.lit(1 << 30)) < int(share * (1 << 30))).orderBy(F.pmod(spread, F.lit(1 << 30)), *keys).limit(n)
 
 
+def within_bytes(df: DataFrame, most: int, order: list[Column], by: str | None = None) -> DataFrame:
+    """The first rows, in the order, whose texts have at most `most` bytes together (of each value of `by`); the others go whole.
+
+    For samples: few rows, whose texts may be of any length.
+    """
+    window = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumn("__bytes", F.sum(F.octet_length("text")).over(window)).where(F.col("__bytes") <= most).drop("__bytes")
+
+
 def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each piece have at most `most` bytes (one row at least)."""
     for batch in batches:
@@ -117,14 +130,19 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, rows)
 
 
-_folders: list = []
+_folders: dict[str, SparkSession] = {}
+
+
+def _delete(folder: str) -> None:
+    spark = _folders.pop(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _clean() -> None:
-    for spark, folder in _folders:
+    for folder in list(_folders):
         try:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(folder)
         except Exception:  # noqa: BLE001  the session has ended, or the folder has gone
             continue
 
@@ -134,9 +152,16 @@ atexit.register(_clean)
 
 def saved(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the cluster's shared folder and read again: it cuts the lineage and survives lost
-    executors. The folder goes when the driver's Python ends."""
+    executors. The folder goes with forget(), or when the driver's Python ends."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
-    _folders.append((spark, folder))
+    _folders[folder] = spark
     df.write.option("compression", "zstd").parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    out = spark.read.schema(df.schema).parquet(folder)
+    out.saved_in = folder
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the folder of what saved() gave; nothing may read it any more."""
+    _delete(df.saved_in)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import forget, saved
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,8 +28,9 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        old, edges = edges, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         last, mark = mark, _mark(edges)
+        forget(old)
         if mark == last:
             break
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

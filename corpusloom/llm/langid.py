@@ -5,8 +5,8 @@ for contexts, its weights of the shorter context) lie in arrays sorted by the n-
 language, so one search serves all languages. A text's language has the lowest cross-entropy per character; the text is
 rejected (``und``) if that exceeds the language's limit, which comes from labelled rows left out of the counts.
 
-The models are fitted on a bounded sample of labelled rows: about `rows` whole texts of each language, chosen by a hash
-of the row's id. Prediction reads every whole text and nothing but the text.
+The models are fitted on a bounded sample of labelled rows: about `rows` whole texts of each language, of BYTES at most
+together, chosen by a hash of the row's id and text before any text is gathered. Prediction reads every whole text and nothing but the text.
 
 Cases: a null text, or one with no letter, is ``und`` with score 0; so is everything if there is no labelled row. Ties
 go to the language first in order. A null doc_id is never learned from and isn't held out. Repeated rows get equal
@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, read_table, small_batches, steps
+from .common import as_bytes, mix, read_table, small_batches, steps, within_bytes
 
 ORDER, ROWS, BLANK = 4, 1500, 32
+#: Bytes of a language's sample: texts beyond it are left out whole.
+BYTES = 32 << 20
 #: Every so many sampled rows one is left out of the counts, for the limits.
 LEFT_OUT = 8
 #: Bits per character allowed beyond the worst left-out row, and beyond that for a text of one character (falls with the root).
@@ -192,8 +194,8 @@ def fit(rows: list[tuple[str, bytes | None]]) -> Models:
     return models
 
 
-def labelled_sample(docs: DataFrame, allowed: Column, rows: int = ROWS) -> list[tuple[str, bytes | None]]:
-    """About `rows` rows (language, text) of each language among the allowed rows, in a fixed order."""
+def labelled_sample(docs: DataFrame, allowed: Column, rows: int = ROWS, most: int = BYTES) -> list[tuple[str, bytes | None]]:
+    """About `rows` rows (language, text) of each language among the allowed rows, of `most` bytes at most, in a fixed order."""
     some = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(allowed, F.lit(False)))
     counts = {r[0]: r[1] for r in some.groupBy("lang").count().collect()}
     if not counts:
@@ -201,8 +203,10 @@ def labelled_sample(docs: DataFrame, allowed: Column, rows: int = ROWS) -> list[
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(2**30 * min(1.0, rows / n))).otherwise(share)
-    taken = some.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**30)) < share).select("doc_id", "lang", "text").toArrow()
-    taken = taken.sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    spread = F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(2**30))
+    taken = some.select("doc_id", "lang", "text", spread.alias("spread")).where(F.col("spread") < share)
+    taken = within_bytes(taken, most, [F.col("spread"), F.col("doc_id")], by="lang").toArrow()
+    taken = taken.sort_by([("doc_id", "ascending"), ("lang", "ascending"), ("spread", "ascending")])
     return list(zip(taken["lang"].to_pylist(), as_bytes(taken["text"].combine_chunks()), strict=True))
 
 

@@ -4,7 +4,7 @@ The classifier is a logistic regression on hashed features - words, pairs of wor
 each kind as frequencies within the text. It is fitted on labelled quality rows and calibrated (Platt) on labelled rows
 that the fit leaves out. Texts are scored in Arrow batches; a document is kept at a probability of KEEP_AT or more.
 
-The fit takes a bounded sample of labelled rows: at most `rows`, those of least hash of the row's id.
+The fit takes a bounded sample of labelled rows: at most `rows`, of BYTES at most together, those of least hash of the row.
 
 Cases: a null text has no words, so it fails the length rule; so does an empty one. With no labelled row, or rows of one
 class only, the rules alone decide and the probability is 1. Several labels of one document are several rows. Repeated
@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, least_hashed, mix, read_table, rolled, small_batches, steps, word_hashes
+from .common import as_bytes, least_hashed, mix, read_table, rolled, small_batches, steps, within_bytes, word_hashes
 
 ROWS, BUCKETS, CHARS = 3000, 1 << 18, 4
+#: Bytes of the sample: texts beyond it are left out whole.
+BYTES = 64 << 20
 KEEP_AT = 0.1
 EPOCHS, RATE, SCALE, LEFT_OUT = 6, 0.5, 20.0, 5
 SYMBOLS, BLANKS = b"#*$%&|<>", b" \t\n\r\x0b\x0c"
@@ -192,12 +194,15 @@ def fit(rows: list[tuple[int, bytes | None]]) -> Classifier:
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> list[tuple[int, bytes | None]]:
-    """At most `rows` (quality, text) rows, in a fixed order. The labels that are picked are bounded, so they are broadcast."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most: int = BYTES) -> list[tuple[int, bytes | None]]:
+    """At most `rows` (quality, text) rows, of `most` bytes at most, in a fixed order. The labels that are picked are bounded, so
+    they are broadcast; however many documents have their ids, `rows` of them are gathered."""
     some = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality")
     some = least_hashed(some, rows, "doc_id", "quality")
-    table = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    return list(zip(table["quality"].to_pylist(), as_bytes(table["text"].combine_chunks()), strict=True))[:rows] if len(table) else []
+    met = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").withColumn("spread", F.xxhash64("doc_id", "quality", "text"))
+    table = within_bytes(met.orderBy("spread", "doc_id").limit(rows), most, [F.col("spread"), F.col("doc_id")]).toArrow()
+    table = table.sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("spread", "ascending")])
+    return list(zip(table["quality"].to_pylist(), as_bytes(table["text"].combine_chunks()), strict=True)) if len(table) else []
 
 
 def _score(model, keep: list[str]):
