@@ -38,7 +38,7 @@ MOST = 48
 CHUNKS = 16
 #: Fingerprints from which the expected candidates of a threshold are estimated; this steers cost, never the result.
 SAMPLE = 2048
-_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.float32)
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(float)
 
 
 def shingle_hashes(text: bytes | None, width: int = SHINGLE) -> list[bytes]:
@@ -58,10 +58,10 @@ def fingerprints(texts: list[bytes | None]) -> np.ndarray:
     lists = [shingle_hashes(t) for t in texts]
     sizes = np.array([len(x) for x in lists])
     octets = np.frombuffer(b"".join(map(b"".join, lists)), np.uint8).reshape(-1, 8)
-    owner, ones = np.repeat(np.arange(len(texts), dtype=np.int64) * 256, sizes), np.empty((len(texts), 64), np.float32)
+    owner, ones = np.repeat(np.arange(len(texts), dtype=np.int64) * 256, sizes), np.empty((len(texts), 64))
     for k in range(8):
         counts = np.bincount(owner + octets[:, 7 - k], minlength=256 * len(texts)).reshape(-1, 256)
-        ones[:, 8 * k : 8 * k + 8] = counts.astype(np.float32) @ _BITS
+        ones[:, 8 * k : 8 * k + 8] = counts @ _BITS  # exact: sums of whole numbers below 2^53
     return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view(np.int64).ravel()
 
 
@@ -226,6 +226,7 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs, in all their columns, that are the first of their group (all rows of that doc_id)."""
+    """The rows of docs, in all their columns, that are the first of their group (all rows of that doc_id). Rows with a null
+    doc_id stay: they name no group."""
     dropped = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
