@@ -38,7 +38,7 @@ def fn_wratio(t: Tables) -> DataFrame:
     return linkage.fuzzy(names, names, 60).select("name", "candidate", F.round(matching.sequence_ratio("name", "candidate"), 6).alias("ratio"))
 
 
-@query()
+@query(f"WITH {NAMES}, s AS (SELECT a.name, b.name AS candidate, replace(a.name, ' ', '') AS x, replace(b.name, ' ', '') AS y FROM n a, n b WHERE {RATIO.format(a='a.name', b='b.name')} > 60) SELECT name, candidate, CAST(list_max(list_transform(range(1, length(x) + 1), lambda i: list_max(list_filter(range(0, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))))) AS INTEGER) AS run FROM s")
 def fn_longest_shared_run(t: Tables) -> DataFrame:
     names = t.part.select(F.col("p_name").alias("name"))
     return linkage.fuzzy(names, names, 60).select("name", "candidate", matching.longest_shared_run("name", "candidate").alias("run"))
@@ -62,7 +62,7 @@ def fn_infer_format(t: Tables) -> DataFrame:
     return t.pages.select("page_id", matching.format_of_address(url).alias("format"), matching.composer_of_address(url, {"example.com": "first", "example": "second"}).alias("owner"))
 
 
-@query()
+@query("SELECT doc_id, left(text, CAST(list_max(list_filter(range(0, least(length(text), 1000) + 1), lambda k: strlen(left(text, CAST(k AS BIGINT))) <= 1000)) AS BIGINT)) AS start FROM documents")
 def fn_truncate_utf8(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", matching.cut_to_bytes(F.col("text"), 1000).alias("start"))
 
@@ -83,12 +83,15 @@ def fn_valid_segment_title(t: Tables) -> DataFrame:
     return t.pages.select("page_id", title.alias("title"), scoring_text.valid_title(title).alias("valid"))
 
 
-@query()
+@query("SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS name FROM part")
 def fn_cleanup_name(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", matching.title_case(tx.repaired(F.trim(F.regexp_replace(F.concat("p_name", F.lit(" (28)")), r"\s*\(\d+\)\s*", "")))).alias("name"))
 
 
-@query()
+FIELD = r"nullif(trim(regexp_extract(x, '(?im)^\s*{name}\s*[:–—-]\s*(.+)$', 1)), '')"
+
+
+@query("SELECT doc_id, " + ", ".join(f"{FIELD.format(name=p)} AS {n}" for n, p in (("raga", "r[aā]ga[mṁ]?"), ("tala", "t[aā][lḷ]a[mṁ]?"), ("composer", "composer"), ("deity", "deity"), ("temple", "temple"))) + " FROM (SELECT doc_id, 'Raga: ' || lang || chr(10) || 'Tala - ' || source || chr(10) || text AS x FROM documents)")
 def parse_metadata(t: Tables) -> DataFrame:
     """Head fields of texts that carry them; here the corpus's texts with labels put before them."""
     from ..operators.structure import metadata
@@ -205,14 +208,14 @@ def st_merge_dual(t: Tables) -> DataFrame:
     return merged_twins(conversation_sections(t))
 
 
-@query()
+@query("SELECT doc_id, 'raga' AS label, CAST(length(text) + 1 AS INTEGER) AS start, CAST(length(text) + 7 + length(lang) AS INTEGER) AS \"end\" FROM documents")
 def st_boundaries(t: Tables) -> DataFrame:
     from ..operators.layout import boundaries
 
     return boundaries(t.documents.select("doc_id", F.concat("text", F.lit("\nRaga: "), "lang").alias("text")))
 
 
-@query()
+@query("SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS line_no, lang AS raga, false AS backward FROM documents")
 def st_ragamalika(t: Tables) -> DataFrame:
     from ..operators.layout import raga_markers
 

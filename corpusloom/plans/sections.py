@@ -36,7 +36,9 @@ def values(columns: str, *rows: tuple) -> str:
             return "NULL"
         if isinstance(v, list):
             return f"[{', '.join(map(literal, v))}]"
-        return str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+        if isinstance(v, float):
+            return f"{v}::DOUBLE"
+        return str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(literal, r)) + ')' for r in rows)}) AS v({columns})"
 

@@ -96,7 +96,20 @@ def fn_identity_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", tx.identity_key(F.col("p_name")).alias("key"))
 
 
-@query()
+def _match_sql() -> str:
+    k = r"regexp_replace(regexp_replace(lower(p_name), '\b(saint|sri|swami|sir|dr|prof|smt)\b', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g')"
+    for old, new in (("ksh", "ks"), ("chh", "c"), ("sh", "s"), ("th", "t"), ("dh", "d"), ("bh", "b"), ("ph", "p"), ("gh", "g"), ("jh", "j"), ("ch", "c"), ("kh", "k")):
+        k = f"replace({k}, '{old}', '{new}')"
+    tidy = lambda x: rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+    raga = "k"
+    for old, new in (("aa", "a"), ("ee", "i"), ("oo", "o"), ("uu", "u"), (" ", "")):
+        raga = f"replace({raga}, '{old}', '{new}')"
+    tala = f"CASE WHEN {tidy('k')} LIKE '%am' AND length({tidy('k')}) > 4 THEN regexp_replace({tidy('k')}, 'am$', 'a') ELSE {tidy('k')} END"
+    return rf"""SELECT p_partkey, {tidy('k')} AS title, CASE WHEN {tidy('k')} IN ('tyagaraja', 'tyagarajar') THEN 'tyagaraja' WHEN contains(k, 'diksitar') THEN 'muttusvami diksitar' WHEN {tidy('k')} IN ('syama sastri', 'syama sastry') THEN 'syama sastri' ELSE {tidy('k')} END AS composer,
+    {tidy(raga)} AS raga, CASE WHEN {tala} IN ('desadi', 'madyadi') THEN 'adi' ELSE {tidy(tala)} END AS tala, {tidy(r"regexp_replace(k, '^(?:(?:lord|goddess|sri|arulmigu)\s+)+', '')")} AS deity, {tidy(r"regexp_replace(k, '^(?:(?:sri|arulmigu|tiru)\s+)+', '')")} AS temple FROM (SELECT p_partkey, {k} AS k FROM part)"""
+
+
+@query(_match_sql())
 def fn_match_key(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", *[tx.match_key(F.col("p_name"), k).alias(k) for k in ("title", "composer", "raga", "tala", "deity", "temple")])
 
@@ -137,7 +150,16 @@ def q_cleanup_preview(t: Tables) -> DataFrame:
     return t.documents.where(F.col("text").contains("icense")).select("doc_id", "lang", F.length("text").cast("long").alias("n")).where("n > 0")
 
 
-@query()
+CLEAN = "text"
+for _pattern, _with in (
+    (r"""(?i)https?://[^\s<>"{}|\\^`\[\]]+""", ""), (r"(?im)^(?:Source|From|Ref(?:erence)?|Courtesy|Credit)\s*[:–—-]\s*.+$", ""),
+    (r"(?im)^(?:Meaning|Translation|Word[- ]by[- ]word|Explanation|Interpretation)\s*[:–—-]\s*.*$", ""), (r"(?im)^(?:©|Copyright|\(c\)).*$", ""),
+    (r"(?im)^(?:Page|p\.?)\s*\d+\s*$", ""), ("﻿", ""), (r"\n{3,}", "\n\n"), (r"(?im)^(?:Raga|Tala|Composer|Language|Script|Adi Tala|Rupaka Tala)\s*[:–—-]\s*.+$", ""),
+):
+    CLEAN = f"regexp_replace({CLEAN}, '{_pattern}', '{_with}', 'g')"
+
+
+@query(f"SELECT doc_id, trim({CLEAN}, ' ') AS cleaned FROM documents")
 def fn_clean_text(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", tx.unpolluted(F.col("text")).alias("cleaned"))
 
@@ -301,7 +323,7 @@ def st_variants_script(t: Tables) -> DataFrame:
     return structure.by_script(t.documents).drop("text")
 
 
-@query()
+@query(r"WITH l AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[₀-₉]', '', 'g'), ' ')) AS x FROM documents), d AS (SELECT *, list_max(list_filter(range(1, len(x) + 1), lambda i: regexp_matches(x[i], '\p{Nd}'))) AS last FROM l), t AS (SELECT *, x[last + 1 :] AS tail FROM d), c AS (SELECT *, coalesce(len(list_filter(tail, lambda y: y <> '')) >= 2 AND list_sum(list_transform(tail, lambda y: length(y))) >= 40, false) AS cut FROM t) SELECT doc_id, CASE WHEN cut THEN array_to_string(x[1 : last], chr(10)) ELSE array_to_string(x, chr(10)) END AS text, cut AS trimmed FROM c")
 def st_trailer_strip(t: Tables) -> DataFrame:
     return structure.without_trailer(t.documents)
 
