@@ -15,11 +15,13 @@ counted runs, where each run's own occurrence is taken out of the counts first;
 distinct runs) work on a share of the runs each, and their results are averaged by weight.
 
 Recurring words. Before a word there may be one bit more: whether it is the word that a longer context foretells. The context
-is the hash of the two words before, kept (with a check of 64 bits, in a table that grows with the corpus) for one in ANCHORS
-of them, with the up to AHEAD words that follow it most often. The bit's probability comes from an adaptive table over
-its state: how often the context came, whether the corpus agrees on what follows, and how many words were foretold rightly
-in a row. A word foretold costs that bit only, any other the bit and its bytes. A text that is learned from is not counted for
-itself: its own occurrence is taken out of a context's count. So copies and stock passages cost little, by their real evidence.
+is the hash of the two words before (64 bits, in a table that grows with the corpus), kept for one in ANCHORS of them, with
+the words that follow it: as far as all its occurrences agree, AHEAD at most. Words are compared by 16 bits of their hash, so one other
+word in 65,536 passes for the one foretold. The bit's probability comes from an adaptive table over its state: how often the
+context came, whether the word before was foretold too, and how many were foretold rightly in a row. That table is learned on
+training texts that the contexts leave out (one in LEFT_OUT), so it knows how often what is foretold is wrong. A word
+foretold costs that bit only, any other the bit and its bytes. A text that is counted in the contexts is not counted for itself: its own
+occurrence is taken out of a context's number. So copies and stock passages cost little, by their real evidence.
 
 Scoring. Each distinct run of the texts is priced once; the prices meet the runs of each block of texts (ROWS rows of a file)
 in a join, and go to the block's texts. Nothing is learned then, so a score depends on the text and the training texts only.
@@ -58,7 +60,9 @@ TOP = 150_000
 #: Words or runs that a task holds before it hands on their counts.
 HELD = 200_000
 #: One context of two words in so many is kept, with up to so many words after it; states: words foretold in a row, count.
-ANCHORS, AHEAD, ROWED, COUNTED = 8, 16, 8, 4
+ANCHORS, AHEAD, ROWED, COUNTED, LEFT_OUT = 16, 12, 8, 4, 8
+#: What follows a context, as whole numbers: four words in each.
+AFTER = tuple(f"a{i}" for i in range(AHEAD // 4))
 #: Rows of a file whose texts get their prices together, runs of a block that a task holds, runs that are priced at once.
 ROWS, KEPT, CHUNK = 8192, 1_500_000, 100_000
 
@@ -230,54 +234,48 @@ class Words:
             context = mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + two * np.uint64(0x165667B19E3779F9))
         at = np.flatnonzero(context % np.uint64(ANCHORS) == 0)
         ends = np.minimum(np.append(at[1:], len(h)), upto[owner[at]])
-        return cls(owner, np.cumsum(sizes) - sizes, (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), at, context[at].view(np.int64), np.minimum(ends - at, AHEAD))
+        return cls(owner, np.cumsum(sizes) - sizes, np.maximum(h & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint64), at, context[at].view(np.int64), np.minimum(ends - at, AHEAD))
 
-    def after(self) -> list[bytes]:
-        """What follows each kept context: short hashes, 4 bytes each."""
-        line = self.short.tobytes()
-        return [line[4 * a : 4 * (a + n)] for a, n in zip(self.anchors.tolist(), self.lengths.tolist(), strict=True)]
+    def after(self) -> np.ndarray:
+        """What follows each kept context: a column for each of AFTER; 16 bits a word, the first in the highest, 0 for none."""
+        out = np.zeros((len(self.anchors), len(AFTER)), np.uint64)
+        for k in range(AHEAD):
+            some = np.flatnonzero(k < self.lengths)
+            out[some, k // 4] |= self.short[self.anchors[some] + k] << np.uint64(48 - 16 * (k % 4))
+        return out.view(np.int64)
 
 
 class Foretold:
-    """A block's kept contexts, with what follows them and how often they came."""
-
-    def __init__(self, contexts: np.ndarray, after: list[bytes], n: np.ndarray, agreed: np.ndarray) -> None:
-        self.contexts, first = np.unique(contexts, return_index=True)
-        self.n, self.agreed = n[first], agreed[first]
-        self.sizes = np.array([len(after[i]) // 4 for i in first], np.int64)
-        self.after = np.zeros((len(first), AHEAD), np.uint32)
-        for row, i in enumerate(first.tolist()):
-            self.after[row, : self.sizes[row]] = np.frombuffer(after[i], np.uint32)
-
-    def states(self, words: Words, learned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each word its state (-1: nothing is foretold) and whether it is the word foretold."""
+    """A block's kept contexts: how often they came, and the words that follow them wherever they came."""
+
+    def __init__(self, table: np.ndarray) -> None:
+        """table: a row for each context, with its hash, number, agreed words and AFTER; rows may come again."""
+        self.contexts, first = np.unique(table[:, 0], return_index=True)
+        self.n, self.size, after = table[first, 1], table[first, 2], table[first, 3:].view(np.uint64)
+        self.after = np.stack([after[:, k // 4] >> np.uint64(48 - 16 * (k % 4)) & np.uint64(0xFFFF) for k in range(AHEAD)], axis=1)
+
+    def states(self, words: Words, counted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its state (-1: nothing is foretold) and whether it is the word foretold. counted: texts in the table."""
         state, hit = np.full(len(words.short), -1), np.zeros(len(words.short), bool)
         if not len(self.contexts) or not len(words.anchors):
             return state, hit
         row = np.minimum(np.searchsorted(self.contexts, words.contexts), len(self.contexts) - 1)
         found = np.flatnonzero(self.contexts[row] == words.contexts)
-        row, at, size = row[found], words.anchors[found], words.lengths[found]
-        n = self.n[row].copy()
-        same = self.sizes[row] == size
-        for k in range(AHEAD):  # is it the text's own occurrence?
-            some = k < size
-            same[some] &= self.after[row[some], k] == words.short[at[some] + k]
-        n -= same & learned[words.owner[at]]
-        base = np.where(self.agreed[row], COUNTED, 0) + np.clip(n, 1, COUNTED) - 1
+        row, at, most = row[found], words.anchors[found], np.minimum(words.lengths[found], self.size[row[found]])
+        n = self.n[row] - counted[words.owner[at]]
         going = n > 0
         for k in range(AHEAD):
-            going = going & (k < size) & (k < self.sizes[row])
+            going = going & (k < most)
             spot = at[going] + k
             right = self.after[row[going], k] == words.short[spot]
-            state[spot], hit[spot] = base[going], right
+            state[spot], hit[spot] = np.clip(n[going], 1, COUNTED) - 1 + (COUNTED if k else 0), right
             going[going] = right
         told = np.flatnonzero(state >= 0)
         place = np.arange(len(told))
-        reset = np.zeros(len(told), np.int64)  # the first place since a miss or the text's beginning
         new = np.ones(len(told), bool)
         new[1:] = (words.owner[told[1:]] != words.owner[told[:-1]]) | ~hit[told[:-1]]
-        reset = np.maximum.accumulate(np.where(new, place, 0))
-        state[told] += np.minimum(place - reset, ROWED - 1) * 2 * COUNTED
+        row_of = place - np.maximum.accumulate(np.where(new, place, 0))  # foretold rightly since a miss or the text's beginning
+        state[told] += np.minimum(row_of, ROWED - 1) * 2 * COUNTED
         return state, hit
 
 
@@ -364,22 +362,25 @@ def _block_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept contexts of each block with what follows them: n times in texts that are learned from, u times in others."""
+    """The kept contexts of each block: n times in texts that are counted, u times in others; and the least and greatest of what
+    follows them where it is counted."""
     for batch in steps(batches):
-        texts = [plain(t) for t in as_bytes(batch.column("text"))]
-        words = Words.of(texts)
-        after = words.after()
-        if not after:
+        words = Words.of([plain(t) for t in as_bytes(batch.column("text"))])
+        if not len(words.anchors):
             continue
-        block, learned = batch.column("block").to_numpy()[words.owner[words.anchors]], batch.column("learned").to_numpy(zero_copy_only=False)[words.owner[words.anchors]]
-        what = word_hashes(after)
-        order = np.lexsort((what, words.contexts, block))
-        b, c, w = block[order], words.contexts[order], what[order]
+        of = words.owner[words.anchors]
+        block, counted = batch.column("block").to_numpy()[of], batch.column("counted").to_numpy(zero_copy_only=False)[of]
+        order = np.lexsort((words.contexts, block))
+        b, c, counted, after = block[order], words.contexts[order], counted[order], words.after()[order]
         lead = np.ones(len(order), bool)
-        lead[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        lead[1:] = (b[1:] != b[:-1]) | (c[1:] != c[:-1])
         at = np.flatnonzero(lead)
-        n, u = (np.add.reduceat(x[order].astype(np.int64), at) for x in (learned, ~learned))
-        yield pa.RecordBatch.from_arrays([pa.array(b[at]), pa.array(c[at]), pa.array([after[i] for i in order[at].tolist()], pa.binary()), pa.array(n), pa.array(u)], ["block", "context", "after", "n", "u"])
+        n, u = (np.add.reduceat(x.astype(np.int64), at) for x in (counted, ~counted))
+        ends = np.iinfo(np.int64)
+        low = np.minimum.reduceat(np.where(counted[:, None], after, ends.max), at, axis=0)
+        high = np.maximum.reduceat(np.where(counted[:, None], after, ends.min), at, axis=0)
+        columns = [b[at], c[at], n, u, *low.T, *high.T]
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in columns], ["block", "context", "n", "u", *(f"{a}_low" for a in AFTER), *(f"{a}_high" for a in AFTER)])
 
 
 def _context() -> Column:
@@ -440,33 +441,45 @@ def _price(model):
 
 
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The kept contexts of each block as bytes: context, count and whether all agree; and what follows, one by one."""
+    """The rows of Foretold's table of each block, as bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         block = batch.column("block").to_numpy()
         order = np.argsort(block, kind="stable")
         block = block[order]
-        table = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64)[order] for k in ("context", "total", "agreed")], axis=1)
-        after = as_bytes(batch.column("after"))
+        table = np.stack([batch.column(k).to_numpy().astype(np.int64)[order] for k in ("context", "n", "size", *AFTER)], axis=1)
         cuts = [0, *(np.flatnonzero(block[1:] != block[:-1]) + 1).tolist(), len(block)]
-        spans = list(zip(cuts, cuts[1:], strict=False))
-        rows = [[after[i] for i in order[a:b].tolist()] for a, b in spans]
-        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([table[a:b].tobytes() for a, b in spans], pa.binary()), pa.array(rows, pa.list_(pa.binary()))], ["block", "told", "after"])
+        yield pa.RecordBatch.from_arrays([pa.array(block[cuts[:-1]]), pa.array([table[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary())], ["block", "told"])
+
+
+def _agreed() -> Column:
+    """How many of the first words after a context are the same wherever it is counted."""
+    out = F.lit(0)
+    for a in reversed(AFTER):
+        low, apart = F.col(f"{a}_low"), F.col(f"{a}_low").bitwiseXOR(F.col(f"{a}_high"))
+        full = F.lit(4)
+        for k in (4, 3, 2, 1):  # the first word that differs, or is none
+            bits = 16 * (4 - k)
+            here = F.shiftrightunsigned(apart, bits).bitwiseAND(F.lit(0xFFFF)) != 0
+            none = F.shiftrightunsigned(low, bits).bitwiseAND(F.lit(0xFFFF)) == 0
+            full = F.when(here | none, k - 1).otherwise(full)
+        out = F.when(full == 4, 4 + out).otherwise(full)
+    return out
 
 
 def foretold(texts: DataFrame) -> DataFrame:
-    """block, told and after (see _told), for the contexts of each block of which the corpus tells something.
+    """block and told (see _told), for the contexts of each block of which the corpus tells something, from block, text, counted.
 
-    Contexts are counted by sums and greatest values, which Spark combines before the shuffle, so a context in every text is no
-    hot key; each block gets a context once for each step of it.
+    What the occurrences of a context agree on is what the least and the greatest of them begin with. Sums, least and greatest
+    values are combined before the shuffle, so a context in every text is no hot key; each block has it once for each step of it.
     """
-    met = saved(texts.select("block", "text", "learned").mapInArrow(_block_contexts, "block long, context long, after binary, n long, u long"))
-    each = met.groupBy("context", "after").agg(F.sum("n").alias("n"), F.sum("u").alias("u"))
-    known = each.groupBy("context").agg(F.sum("n").alias("all"), F.sum("u").alias("others"), F.max(F.struct("n", "after")).alias("best"))
-    known = known.where("all > 1 or (all > 0 and others > 0)")
-    known = known.select("context", F.col("best.n").alias("total"), (F.col("best.n") == F.col("all")).alias("agreed"), F.col("best.after").alias("after"))
-    return met.select("block", "context").join(known, "context").mapInArrow(_told, "block long, told binary, after array<binary>")
+    schema = ", ".join(["block long, context long, n long, u long", *(f"{a}_low long" for a in AFTER), *(f"{a}_high long" for a in AFTER)])
+    met = saved(texts.select("block", "text", "counted").mapInArrow(_block_contexts, schema))
+    known = met.groupBy("context").agg(F.sum("n").alias("n"), F.sum("u").alias("u"), *(F.min(f"{a}_low").alias(f"{a}_low") for a in AFTER), *(F.max(f"{a}_high").alias(f"{a}_high") for a in AFTER))
+    known = known.where("n > 1 or (n > 0 and u > 0)").withColumn("size", _agreed()).where("size > 0")
+    known = known.select("context", "n", "size", *(F.col(f"{a}_low").alias(a) for a in AFTER))
+    return met.select("block", "context").join(known, "context").mapInArrow(_told, "block long, told binary")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -534,7 +547,6 @@ def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, Fo
     """Each block's texts, a step at a time, with its prices and contexts, which come first."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
     tables: list[np.ndarray] = []
-    after: list[bytes] = []
     prices = told = block = None
     for batch in batches:
         blocks, kinds = batch.column("block").to_numpy(), batch.column("kind").to_numpy()
@@ -543,11 +555,10 @@ def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, Fo
             if at == to:
                 continue
             if blocks[at] != block:
-                held, tables, after, prices, block = [], [], [], None, blocks[at]
+                held, tables, prices, block = [], [], None, blocks[at]
             part = batch.slice(at, to - at)
             if kinds[at] == 1:
-                tables += [np.frombuffer(x, np.int64).reshape(-1, 3) for x in as_bytes(part.column("told"))]
-                after += [x for row in part.column("after").to_pylist() for x in row]
+                tables += [np.frombuffer(x, np.int64).reshape(-1, 3 + len(AFTER)) for x in as_bytes(part.column("told"))]
                 continue
             if not kinds[at]:
                 held += [(np.frombuffer(r, np.int64), np.frombuffer(c, np.float32)) for r, c in zip(as_bytes(part.column("runs")), as_bytes(part.column("costs")), strict=True)]
@@ -555,8 +566,7 @@ def _with_prices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Prices, Fo
             if prices is None:
                 runs, costs = (np.concatenate(x) for x in zip(*held, strict=True))
                 prices, held = Prices(runs.astype(np.uint64), costs), []
-                table = np.concatenate(tables or [np.empty((0, 3), np.int64)])
-                told, tables, after = Foretold(table[:, 0], after, table[:, 1], table[:, 2] > 0), [], []
+                told, tables = Foretold(np.concatenate(tables or [np.empty((0, 3 + len(AFTER)), np.int64)])), []
             for some in steps(iter([part]), most=1 << 20):
                 yield prices, told, some
 
@@ -573,7 +583,7 @@ def _score(top, key: str):
             lines = [plain(t) for t in texts]
             runs, sizes = runs_of(lines)
             of = Words.of(lines)
-            state, hit = told.states(of, batch.column("learned").to_numpy(zero_copy_only=False))
+            state, hit = told.states(of, batch.column("counted").to_numpy(zero_copy_only=False))
             spelled = np.where(hit, 0.0, np.add.reduceat(prices.cost(runs), of.starts))
             score = np.bincount(of.owner, weights=spelled, minlength=len(texts))
             seen = np.flatnonzero(state >= 0)
@@ -595,7 +605,7 @@ def _score(top, key: str):
             rare = pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], kind)
             keys = pa.array(np.arange(first + row, first + row + len(texts)))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes), rare, batch.column("learned"), bits], ["row", "doc_id", "words", "known", "base", "score", "bytes", "rare", "learned", "bits"])
+            yield pa.RecordBatch.from_arrays([keys, batch.column("doc_id"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score), pa.array(sizes), rare, batch.column("aside"), bits], ["row", "doc_id", "words", "known", "base", "score", "bytes", "rare", "aside", "bits"])
 
     return run
 
@@ -623,7 +633,7 @@ def frequent(counts: DataFrame, most: int = TOP) -> dict[bytes, int]:
 def bit_costs(scored: DataFrame) -> list[float]:
     """log10 of the probability of each state's bit (0: the word is another, 1: it is the one foretold), as learned."""
     seen = np.zeros(2 * STATES)
-    rows = scored.where("learned").select(F.explode("bits").alias("b")).groupBy("b.bit").agg(F.sum("b.n").alias("n"))
+    rows = scored.where("aside").select(F.explode("bits").alias("b")).groupBy("b.bit").agg(F.sum("b.n").alias("n"))
     for r in rows.collect():  # 2 * STATES at most
         seen[r["bit"]] = r["n"]
     share = (seen + 0.4).reshape(-1, 2)
@@ -641,16 +651,18 @@ def score_texts(docs: DataFrame, train_on: Column, top: int = TOP, block: Column
     texts = docs.select("doc_id", "text", (F.spark_partition_id().cast("long") if block is None else block).alias("block"), F.coalesce(train_on, F.lit(False)).alias("learned"))
     if block is None:
         texts = saved(texts)
+    aside = F.pmod(F.xxhash64("doc_id", "text", F.lit("aside")), F.lit(LEFT_OUT)) == 0
+    texts = texts.withColumn("counted", F.col("learned") & ~aside).withColumn("aside", F.col("learned") & aside)
     counts = saved(word_counts(texts.where("learned")))
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     common = frequent(counts, top)
     share = spark.sparkContext.broadcast
-    schema = "row long, doc_id long, words long, known long, base double, score double, bytes long, rare array<struct<word: binary, n: int>>, learned boolean, bits array<struct<bit: int, n: long>>"
+    schema = "row long, doc_id long, words long, known long, base double, score double, bytes long, rare array<struct<word: binary, n: int>>, aside boolean, bits array<struct<bit: int, n: long>>"
     pairs = block_runs(texts)
     prices = pairs.select("block", "run").join(priced(fit(pairs)), "run").select("block", "run", "cost").mapInArrow(_packed, "block long, runs binary, costs binary")
     both = prices.withColumn("kind", F.lit(0)).unionByName(foretold(texts).withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    both = both.unionByName(texts.select("block", "doc_id", "text", "learned", F.lit(2).alias("kind")), allowMissingColumns=True)
-    met = both.select("block", "kind", "doc_id", "text", "learned", "runs", "costs", "told", "after").repartition("block").sortWithinPartitions("block", "kind")
+    both = both.unionByName(texts.select("block", "doc_id", "text", "counted", "aside", F.lit(2).alias("kind")), allowMissingColumns=True)
+    met = both.select("block", "kind", "doc_id", "text", "counted", "aside", "runs", "costs", "told").repartition("block").sortWithinPartitions("block", "kind")
     scored = met.mapInArrow(_score(share(list(common.items())), uuid.uuid4().hex), schema)
     scored = saved(scored)
     cost = F.aggregate("bits", F.lit(0.0), lambda total, x: total + x["n"] * F.element_at(F.array(*map(F.lit, bit_costs(scored))), x["bit"] + 1))
