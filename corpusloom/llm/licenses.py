@@ -2,9 +2,10 @@
 
 A paragraph is a line with a word. A multinomial logistic regression on hashed words and pairs of words (lengths
 normalised) gives a family or `unknown`. It is trained on notices made from the licence names and phrases below, and on
-paragraphs of the corpus that have none of the licences' own words, as the unknown class. How sure it must be is
-calibrated on rows that the fit leaves out: beyond all but a share of 0.001 of the unknown ones. A predicted paragraph is then
-compared with its family's templates: the share of a template's pairs of words that the paragraph has confirms it, or not.
+paragraphs of the corpus that are like no template, as the unknown class: half of them with the licences' own words, where the
+corpus has so many, as they are the hard ones. How sure it must be is calibrated on unknown paragraphs that the fit leaves
+out: a family must be likelier than all else together, and than the likeliest family of all but a share of 0.001 of those,
+of the hard ones and of the others. A predicted paragraph is then compared with its family's templates: the share of a template's pairs of words that the paragraph has confirms it, or not.
 
 All of it is DataFrame functions and Spark's own DataFrame-based feature transformers and classifier; no Python runs in tasks.
 
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 from .common import least_hashed, read_table, saved
 
 FEATURES, BACKGROUND = 1 << 13, 2000
-#: Share of a template's pairs of words that confirms a prediction.
-CONFIRM = 0.6
+#: Share of a template's pairs of words that confirms a prediction, and from which a paragraph can't stand for the unknown.
+CONFIRM, LIKE = 0.6, 0.3
+#: Share of the unknown paragraphs left out that may pass for a licence.
+FALSE = 0.001
+TELLING = r"(?i)licen[sc]|copyright|\bcc0?\b|public domain|permission|rights reserved|warrant|redistribut|spdx"
 
 # The names by which notices call each family.
 NAMES = {
@@ -108,30 +112,34 @@ class Scanner:
 
     def predict(self, lines: DataFrame) -> DataFrame:
         """lines(words, ...) with family (unknown below the calibrated probability) and probability."""
-        names = F.array(*[F.lit(f) for f in self.families])
-        out = self.model.transform(lines)
-        out = out.withColumn("family", F.element_at(names, F.col("prediction").cast("int") + 1)).withColumn("probability", F.array_max(vector_to_array("probability")))
-        out = out.withColumn("family", F.when((F.col("family") != "unknown") & (F.col("probability") < self.sure), "unknown").otherwise(F.col("family")))
-        return out.drop("pairs", "f1", "f2", "both", "features", "rawPrediction", "prediction")
+        out = self.model.transform(lines).withColumn("p", vector_to_array("probability"))
+        each = F.array(*[F.struct(F.element_at("p", i + 1).alias("p"), F.lit(f).alias("family")) for i, f in enumerate(self.families) if f != "unknown"])
+        out = out.withColumn("best", F.array_max(each)).withColumn("probability", F.col("best.p"))
+        out = out.withColumn("family", F.when(F.col("probability") >= self.sure, F.col("best.family")).otherwise("unknown"))
+        return out.drop("pairs", "f1", "f2", "both", "features", "rawPrediction", "prediction", "p", "best")
 
 
 def fit(docs: DataFrame, background: int = BACKGROUND) -> Scanner:
-    """Fits on the made notices and a sample of the corpus's paragraphs that share no word with the licences' vocabulary."""
+    """Fits on the made notices and a sample of the corpus's paragraphs that are like no template."""
     spark = docs.sparkSession
     rows = notices()
     families = sorted({f for f, _ in rows})
-    telling = r"(?i)licen[sc]|copyright|\bcc0?\b|public domain|permission|rights reserved|warrant|redistribut|spdx"
     picked = docs.select("doc_id", "text").join(F.broadcast(least_hashed(docs.select("doc_id"), background, "doc_id")), "doc_id", "left_semi")
-    other = paragraphs(picked).where(~F.col("line").rlike(telling)).orderBy(F.xxhash64("line", "doc_id"), "paragraph").limit(background)
+    known = spark.createDataFrame(templates(), "family string, template string").select(_pairs(words_of(F.col("template"))).alias("parts")).collect()
+    lines = paragraphs(picked).withColumn("own", _pairs(words_of(F.col("line"))))
+    shares = [F.size(F.array_intersect(F.col("own"), F.array(*map(F.lit, r["parts"])))) / len(r["parts"]) for r in known]
+    lines = lines.where(F.greatest(*shares) < LIKE).withColumn("hard", F.col("line").rlike(TELLING))
+    some = lambda hard: lines.where(F.col("hard") == hard).orderBy(F.xxhash64("line", "doc_id"), "paragraph").limit(background // 2)
+    other = some(True).unionByName(some(False))
     made = spark.createDataFrame(rows, "family string, line string").unionByName(other.select(F.lit("unknown").alias("family"), "line"))
     number = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family")) - 1
-    made = saved(made.select(number.cast("double").alias("label"), words_of(F.col("line")).alias("words"), (F.pmod(F.xxhash64("line", F.lit("aside")), F.lit(5)) == 0).alias("aside")))
+    made = saved(made.select(number.cast("double").alias("label"), words_of(F.col("line")).alias("words"), F.col("line").rlike(TELLING).alias("hard"), (F.pmod(F.xxhash64("line", F.lit("aside")), F.lit(5)) == 0).alias("aside")))
     steps = [NGram(n=2, inputCol="words", outputCol="pairs"), HashingTF(numFeatures=FEATURES, binary=True, inputCol="words", outputCol="f1"), HashingTF(numFeatures=FEATURES, binary=True, inputCol="pairs", outputCol="f2"), VectorAssembler(inputCols=["f1", "f2"], outputCol="both"), Normalizer(inputCol="both", outputCol="features")]
     model = Pipeline(stages=[*steps, LogisticRegression(family="multinomial", regParam=1e-4, elasticNetParam=0.0, maxIter=60)]).fit(made.where("not aside"))
     scanner = Scanner(model, families, 0.0)
-    doubt = scanner.predict(made.where("aside").where(F.col("label") == families.index("unknown"))).where("family <> 'unknown'")
-    worst = doubt.agg(F.percentile("probability", 0.999)).first()[0]
-    scanner.sure = max(0.5, min(0.95, (worst or 0.0) + 0.01))
+    doubt = scanner.predict(made.where("aside").where(F.col("label") == families.index("unknown")))
+    worst = doubt.groupBy("hard").agg(F.percentile("probability", 1 - FALSE).alias("p")).collect()  # two rows at most
+    scanner.sure = max([0.5, *(r["p"] for r in worst)])
     return scanner
 
 

@@ -49,3 +49,16 @@ def grouped(values, radius=3):
                 x, y = sorted((find(a), find(b)))
                 head[y] = x
     return {i: find(i) for i in ids}
+
+
+def contaminated(text, items, width=13):
+    """Whether windows of the items cover a twentieth of the words or more."""
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    w, hit = words(low), set()
+    windows = {tuple(b[i : i + width]) for _, t in items if (b := words(t)) for i in range(max(1, len(b) - width + 1))}
+    for n in {len(x) for x in windows}:
+        for i in range(len(w) - n + 1):
+            if tuple(w[i : i + n]) in windows:
+                hit |= set(range(i, i + n))
+    return bool(hit) and 20 * len(hit) >= len(w)

@@ -107,34 +107,37 @@ def test_lm_counts_stay_apart(spark):
     assert got[got.doc_id >= 0].bits_per_byte.mean() < 1 and got[got.doc_id < 0].bits_per_byte.mean() > 4
 
 
-def foretold_plainly(lines, learned):
+def foretold_plainly(lines, counted):
     """(state, hit) of every word of every line, by loops over tuples of words."""
     words = lm.Words.of(lines)
     kept = dict(zip(words.anchors.tolist(), zip(words.contexts.tolist(), words.lengths.tolist(), strict=True), strict=True))
-    after = {a: tuple(words.short[a : a + n].tolist()) for a, (_, n) in kept.items()}
     table = {}
-    for a, (c, _) in kept.items():
-        if learned[words.owner[a]]:
-            table.setdefault(c, Counter())[after[a]] += 1
-    out, told, row = [], None, 0
+    for a, (c, n) in kept.items():
+        if counted[words.owner[a]]:
+            table.setdefault(c, []).append(words.short[a : a + n].tolist())
+
+    def until_they_part(all_):
+        out = []
+        for x in zip(*all_, strict=False):
+            if len(set(x)) > 1:
+                break
+            out.append(x[0])
+        return out
+
+    out, told, n, k, row = [], [], 0, 0, 0
     for i in range(len(words.short)):
         if not i or words.owner[i] != words.owner[i - 1]:
-            told, row = None, 0
+            told, row = [], 0
         if i in kept:
-            told, counts = None, table.get(kept[i][0], Counter())
-            if counts:
-                best = max(counts, key=lambda x: (counts[x], b"".join(w.to_bytes(4, "little") for w in x)))
-                n, agreed = counts[best], len(counts) == 1
-                n -= bool(learned[words.owner[i]]) and best == after[i]
-                told = (iter(best), agreed * lm.COUNTED + min(n, lm.COUNTED) - 1) if n > 0 else None
-        word = next(told[0], None) if told else None
-        if word is None:
-            told = None
+            all_ = table.get(kept[i][0], [])
+            n, k = len(all_) - bool(counted[words.owner[i]]), 0
+            told = until_they_part(all_) if n > 0 else []
+        if not told:
             out.append((-1, False))
             continue
-        hit = word == words.short[i]
-        out.append((told[1] + min(row, lm.ROWED - 1) * 2 * lm.COUNTED, hit))
-        row, told = (row + 1, told) if hit else (0, None)
+        hit = told.pop(0) == words.short[i]
+        out.append((min(n, lm.COUNTED) - 1 + lm.COUNTED * (k > 0) + min(row, lm.ROWED - 1) * 2 * lm.COUNTED, hit))
+        row, k, told = (row + 1, k + 1, told) if hit else (0, 0, [])
     return out
 
 
@@ -143,22 +146,19 @@ def test_lm_foretells_recurring_words(spark, seed):
     import numpy as np
 
     rng = np.random.default_rng(seed)
-    pieces = [" ".join(f"w{x}" for x in rng.integers(0, 90, rng.integers(3, 60))) for _ in range(6)]
-    lines = [lm.plain(" ".join(pieces[k] for k in rng.integers(0, 6, rng.integers(0, 8))).encode()) for _ in range(30)]
-    learned = rng.random(30) < 0.7
-    df = spark.createDataFrame([(i % 2, t.decode(), bool(y)) for i, (t, y) in enumerate(zip(lines, learned, strict=True))], "block long, text string, learned boolean").repartition(3)
+    pieces = [" ".join(f"w{x}" for x in rng.integers(0, 90, rng.integers(3, 90))) for _ in range(9)]
+    lines = [lm.plain(" ".join(pieces[k] for k in rng.integers(0, 9, rng.integers(0, 12))).encode()) for _ in range(40)]
+    counted = rng.random(40) < 0.7
+    df = spark.createDataFrame([(i % 2, t.decode(), bool(y)) for i, (t, y) in enumerate(zip(lines, counted, strict=True))], "block long, text string, counted boolean").repartition(3)
     got = {}
     for r in lm.foretold(df).collect():
-        got.setdefault(r.block, ([], []))
-        got[r.block][0].append(np.frombuffer(r.told, np.int64).reshape(-1, 3))
-        got[r.block][1].extend(map(bytes, r.after))
-    want = foretold_plainly(lines, learned)
+        got.setdefault(r.block, []).append(np.frombuffer(r.told, np.int64).reshape(-1, 3 + len(lm.AFTER)))
+    want = foretold_plainly(lines, counted)
     owner = lm.Words.of(lines).owner
     assert sum(s >= 0 for s, _ in want) > 100 and any(h for _, h in want)
-    for block, (tables, after) in got.items():
-        some = [i for i in range(30) if i % 2 == block]
-        t = np.concatenate(tables)
-        state, hit = lm.Foretold(t[:, 0], after, t[:, 1], t[:, 2] > 0).states(lm.Words.of([lines[i] for i in some]), learned[some])
+    for block, tables in got.items():
+        some = [i for i in range(40) if i % 2 == block]
+        state, hit = lm.Foretold(np.concatenate(tables)).states(lm.Words.of([lines[i] for i in some]), counted[some])
         assert list(zip(state.tolist(), hit.tolist(), strict=True)) == [x for x, o in zip(want, owner, strict=True) if o in some]
 
 
@@ -170,7 +170,7 @@ def test_lm_scores_do_not_depend_on_neighbours(spark):
 
 def test_lm_beats_the_unigram_on_texts_it_did_not_learn(spark):
     got = lm.op5_lm_scoring(spark, "/root/testdata/sf0.01").where("held_out").toPandas()
-    assert got.score.sum() > 0.95 * got.base_score.sum()
+    assert got.score.sum() > got.base_score.sum()
 
 
 def test_lm_cases(spark, docs, empty, repeated, unnamed):
@@ -230,3 +230,90 @@ def test_licences(spark):
     got = [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan_licences(df).collect() if r.confirmed]
     assert sorted(got) == sorted([(i, 1, f, True) for i, (f, _) in enumerate(lines) if f] + [(0, 1, "gpl", True)])
     assert licenses.scan_licences(df.limit(0)).collect() == []
+
+
+def test_licence_model_against_a_plain_version(spark):
+    """Words, hashed places, lengths, the regression and the templates, paragraph by paragraph."""
+    import numpy as np
+    from pyspark.ml.feature import HashingTF
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    scanner = licenses.fit(d)
+    assert 0.5 <= scanner.sure < 1
+    regression, tf = scanner.model.stages[-1], HashingTF(numFeatures=licenses.FEATURES)
+    weights, bias = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
+    split = lambda t: [w for x in re.split(r"[^\w.+\-]+|_", t.lower()) if (w := re.sub(r"^[.\-]+|[.\-]+$", "", x))]
+    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    distinct = lambda w: set(pairs(w) if len(w) > 1 else w)
+    want = {}
+    for r in d.collect():
+        for i, line in enumerate(r.text.split("\n")):
+            if not re.search(licenses.TELLING, line) and (r.doc_id % 25 or i > 3):
+                continue
+            words = split(line)
+            if not words:
+                continue
+            x = np.zeros(2 * licenses.FEATURES)
+            x[[tf.indexOf(w) for w in words]] = 1
+            x[[licenses.FEATURES + tf.indexOf(p) for p in pairs(words)]] = 1
+            z = weights @ (x / np.linalg.norm(x)) + bias
+            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            best = max((p[k], f) for k, f in enumerate(scanner.families) if f != "unknown")
+            likest = max(len(distinct(split(t)) & distinct(words)) / len(distinct(split(t))) for f, t in licenses.templates() if f == best[1])
+            want[r.doc_id, i] = (best[1], round(best[0], 6), likest >= licenses.CONFIRM) if best[0] >= scanner.sure else None
+    got = {(r.doc_id, r.paragraph): (r.family, round(r.probability, 6), r.confirmed) for r in licenses.scan_licences(d, scanner).collect()}
+    assert sum(v is not None for v in want.values()) > 20
+    assert {k: v for k, v in got.items() if k in want} == {k: v for k, v in want.items() if v}
+
+
+def kneser_ney(texts, order=langid.ORDER):
+    """(probability of a character behind a context, by plain dictionaries; the characters met), from prepared lines."""
+    grams = [Counter() for _ in range(order + 1)]
+    for t in texts:
+        for i in range(order - 1, len(t)):
+            for k in range(1, order + 1):
+                grams[k][t[i - k + 1 : i + 1]] += 1
+    counts = [Counter() for _ in range(order + 1)]
+    counts[order] = grams[order]
+    for k in range(1, order):
+        before = Counter(g[1:] for g in grams[k + 1])
+        counts[k] = Counter({g: before.get(g, 1) for g in grams[k]})
+
+    def p(context, char, k=order):
+        if not k:
+            return None
+        below = p(context, char, k - 1)
+        own = context[len(context) - k + 1 :]
+        values = list(counts[k].values())
+        once, twice = values.count(1), values.count(2)
+        cut = once / (once + 2 * twice) if once else 0.5
+        here = {g: c for g, c in counts[k].items() if g[:-1] == own}
+        if not here:
+            return below
+        total = sum(here.values())
+        return max(here.get(own + char, 0) - cut, 0) / total + cut * len(here) / total * (base if below is None else below)
+
+    alphabet = set()
+    base = None
+
+    def cost(t, letters):
+        nonlocal base
+        base = 1 / (len(letters) + 1)
+        return sum(-math.log2(p(t[i - order + 1 : i], t[i])  or base) for i in range(order - 1, len(t)))
+
+    alphabet = {c for t in texts for c in t}
+    return cost, alphabet
+
+
+def test_language_models_against_plain_kneser_ney():
+    train = {"de": ["Der Hund läuft über die Wiese", "Die Sonne scheint auf den Hügel", "Wir gehen heute in die Stadt"], "en": ["The dog runs over the meadow", "the sun shines on the hill", "We go to town today, again"]}
+    prepared = lambda t: " " * (langid.ORDER - 1) + re.sub(r"[^a-zäöüß]+", " ", t.lower())
+    model = langid.fit([(la, t.encode()) for la, ts in train.items() for t in ts])
+    plain = {la: kneser_ney([prepared(t) for t in ts]) for la, ts in train.items()}
+    letters = set.union(*(a for _, a in plain.values()))
+    for text in ["The sun runs", "Der Hund geht", "zebra"]:
+        bits, sizes, _ = model.entropy([text.encode()])
+        line = prepared(text)
+        assert sizes[0] == len(line) - langid.ORDER + 1
+        for j, la in enumerate(model.langs):
+            assert bits[0][j] * sizes[0] == pytest.approx(plain[la][0](line, letters), rel=1e-4)

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 
+import brute
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
@@ -13,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import corpus_pipeline
-from corpusloom.llm import chat, decontaminate, packing, registry, url_filter
+from corpusloom.llm import chat, decontaminate, langid, packing, registry, url_filter
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -244,6 +245,44 @@ def test_pipeline(spark):
     check_places(rows)
 
 
+def test_pipeline_stages_against_plain_versions(spark):
+    """Each stage on its own input: the rows and texts that a plain version keeps."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    read = lambda df: {r.doc_id: r.text for r in df.collect()}
+
+    texts = read(docs)
+    model = langid.fit(langid.labelled_sample(docs, langid._remainder(4) != 2))
+    langs, _ = model.predict([t.encode() for t in texts.values()])
+    docs = corpus_pipeline.saved(stages["language"](spark, docs, SMALL))
+    assert read(docs) == {i: t for (i, t), la in zip(texts.items(), langs, strict=True) if la != "und"}
+
+    texts = read(docs)
+    groups = brute.grouped({i: brute.fingerprint(t) for i, t in texts.items()})
+    docs = corpus_pipeline.saved(stages["near duplicates"](spark, docs, SMALL))
+    assert read(docs) == {i: t for i, t in texts.items() if groups[i] == i}
+
+    texts = read(docs)
+    plain = brute.repeats(list(texts.items()))
+    docs = corpus_pipeline.saved(stages["repeated passages"](spark, docs, SMALL))
+    cut = read(docs)
+    kept = {i: hashlib.sha256(" ".join(brute.WORD.findall(t)).encode()).hexdigest() for i, t in cut.items()}
+    assert kept == {i: digest for i, (n, gone, digest) in plain.items() if not n or gone < n}
+    assert all(cut[i] == texts[i] for i in cut if not plain[i][1])
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    docs = corpus_pipeline.saved(stages["benchmark passages"](spark, docs, SMALL))
+    assert read(docs) == {i: t for i, t in cut.items() if not brute.contaminated(t, items)}
+
+    rows = stages["packing"](spark, docs, SMALL).collect()
+    encode = packing.encoder(packing.vocabulary_path()).tokenizer.encode
+    check_places(rows)
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == {
+        (i, k, 4096 * k, len(part), zlib.crc32(np.array(part, np.uint32).tobytes()))
+        for i, t in read(docs).items() for ids in [[*encode(t, add_special_tokens=False).ids, 1]] for k in range(-(-len(ids) // 4096)) for part in [ids[4096 * k : 4096 * (k + 1)]]
+    }
+
+
 def test_stages_take_an_empty_table(spark, empty):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SMALL).collect() == []
