@@ -6,6 +6,8 @@ them before the edit distance is taken, and the exact matches leave first.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,15 +43,26 @@ def block_keys(c: Column, least: int) -> Column:
     return F.slice(ordered, F.lit(1), F.greatest(n - F.floor(n * least / 100).cast("int"), F.lit(1)))
 
 
+def candidates(left: DataFrame, right: DataFrame, least: int) -> DataFrame:
+    """Pairs (name, candidate) that a ratio over `least` can't be denied by block keys and lengths; none of such a ratio is lost.
+
+    Keys hold a band of lengths too: lengths of one pair differ by less than 100 / least, which is one band, so one side goes
+    to its band's neighbours as well. That splits the blocks of frequent keys, more so for higher thresholds.
+    """
+    band = lambda c: F.floor(F.log(F.greatest(F.length(c), F.lit(1))) / math.log(100 / least)).cast("int")
+    keys = lambda df, c: df.select(c, band(F.col(c)).alias("band"), F.explode(block_keys(F.col(c), least)).alias("k"))
+    one = keys(left, "name").select("name", F.xxhash64("k", "band").alias("key"))
+    near = keys(right, "candidate").select("candidate", "k", F.explode(F.array(*[F.col("band") + i for i in (-1, 0, 1)])).alias("band"))
+    pairs = one.join(near.select("candidate", F.xxhash64("k", "band").alias("key")), "key").select("name", "candidate")
+    longer, shorter = F.greatest(F.length("name"), F.length("candidate")), F.least(F.length("name"), F.length("candidate"))
+    return pairs.where(shorter * 100 > longer * least).distinct()
+
+
 def fuzzy(names: DataFrame, known: DataFrame, least: int, top: int | None = None) -> DataFrame:
     """(name, candidate, score) of distinct names and known names with a ratio over `least`; none is lost to blocking."""
     left = names.select(F.col("name")).where("name is not null").distinct()
     right = known.select(F.col("name").alias("candidate")).where("candidate is not null").distinct()
-    keyed = lambda df, c: df.withColumn("k", F.explode(block_keys(F.col(c), least))).select(c, F.xxhash64("k").alias("k"))
-    pairs = keyed(left, "name").join(keyed(right, "candidate"), "k").select("name", "candidate").distinct()
-    limit = F.greatest(F.length("name"), F.length("candidate"))
-    pairs = pairs.where(F.least(F.length("name"), F.length("candidate")) * 100 > limit * least)
-    scored = pairs.withColumn("score", tx.ratio(F.col("name"), F.col("candidate"))).where(F.col("score") > least)
+    scored = candidates(left, right, least).withColumn("score", tx.ratio(F.col("name"), F.col("candidate"))).where(F.col("score") > least)
     return first_of(scored, ["name"], [F.col("score").desc(), F.col("candidate")], top) if top else scored
 
 

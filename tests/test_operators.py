@@ -127,3 +127,20 @@ def test_headers_of_every_script(spark):
     df = spark.createDataFrame([(i, line) for i, line in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.label for r in headers.labelled(df).collect()}
     assert [got[i] for i in range(len(cases))] == list(cases.values())
+
+
+def test_blocking_loses_no_pair_and_prunes(spark):
+    import random
+
+    pick = random.Random(3)
+    names = {"".join(pick.choices("abcdefghijklmnopqrstuvwxyz ", k=pick.randint(4, 40))).strip() for _ in range(150)}
+    for n in list(names)[:60]:
+        i = pick.randrange(len(n))
+        names.add(n[:i] + pick.choice("abc") + n[i + 1 :])
+        names.add(n[:i] + n[i + 1 :])
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{c} string") for c in ("name", "candidate"))
+    every = left.join(right, F.length("name") > -F.length("candidate")).select("name", "candidate", tx.ratio(F.col("name"), F.col("candidate")).alias("score"))
+    for least, share in ((60, 0.8), (80, 0.4), (90, 0.2)):
+        want = {(r.name, r.candidate) for r in every.where(F.col("score") > least).collect()}
+        found = {(r.name, r.candidate) for r in linkage.candidates(left, right, least).collect()}
+        assert want <= found and len(found) < share * len(names) ** 2
