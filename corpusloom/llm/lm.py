@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, read_table, saved, small_batches, steps, word_hashes
+from .common import as_bytes, mix, read_table, saved, small_batches, steps
 
 ORDERS = 5
 #: Learners at least, distinct runs from which there are more, gates, places of the adaptive table along the log odds.
@@ -64,7 +64,7 @@ ANCHORS, AHEAD, ROWED, COUNTED, LEFT_OUT = 16, 12, 8, 4, 8
 #: What follows a context, as whole numbers: four words in each.
 AFTER = tuple(f"a{i}" for i in range(AHEAD // 4))
 #: Rows of a file whose texts get their prices together, runs of a block that a task holds, runs that are priced at once.
-ROWS, KEPT, CHUNK = 8192, 1_500_000, 100_000
+ROWS, KEPT, CHUNK = 32_768, 3_000_000, 100_000
 
 
 def plain(text: bytes | None) -> bytes:
@@ -204,6 +204,20 @@ class Mixer:
                 self.refine += (0.5 * up / (of + 4)).reshape(256, PLACES).astype(np.float32)
 
 
+_P = 0x9E3779B97F4A7C15
+_made: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2^64."""
+    if base not in _made or len(_made[base]) < n:
+        factors = np.full(max(n, 1 << 16), base, np.uint64)
+        factors[0] = 1
+        with np.errstate(over="ignore"):
+            _made[base] = np.cumprod(factors)
+    return _made[base][:n]
+
+
 @dataclass
 class Words:
     """The words of some texts: whose they are, where their bytes begin, short hashes, and the contexts that are kept."""
@@ -217,24 +231,25 @@ class Words:
 
     @classmethod
     def of(cls, texts: list[bytes]) -> Words:
-        """texts as plain() makes them; a text's last word is another word than elsewhere, as the end follows it."""
-        lists = [t.split(b" ") for t in texts]
-        counts = np.array([len(x) for x in lists], np.int64)
-        owner = np.repeat(np.arange(len(texts)), counts)
-        sizes = np.fromiter((len(w) + 1 for x in lists for w in x), np.int64, len(owner))
-        h = np.concatenate([word_hashes(x) for x in lists] or [np.empty(0, np.uint64)])
-        upto = np.cumsum(counts)
-        h[upto - 1] = mix(h[upto - 1] + np.uint64(1))
-        first = upto - counts
-        before = np.concatenate([h[:1], h[:-1]])
-        before[first] = 7
-        two = np.concatenate([before[:1], before[:-1]])
-        two[first] = 9
+        """texts as plain() makes them. A word's hash takes in the blank or the end that follows it, so a text's last word is
+        another word than elsewhere."""
+        b = np.frombuffer(b"".join(x for t in texts for x in (t, b"\0")), np.uint8)
+        ends = np.flatnonzero((b == 32) | (b == 0))
+        starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+        last = b[ends] == 0
+        owner = np.cumsum(last) - last
+        with np.errstate(over="ignore"):
+            upto = np.concatenate([[np.uint64(0)], np.cumsum((b + np.uint64(1)) * _powers(_P, len(b)))])
+            h = mix((upto[ends + 1] - upto[starts]) * _powers(pow(_P, -1, 1 << 64), len(b))[starts])
+        first = np.concatenate([[True], last[:-1]]) if len(ends) else last
+        before = np.where(first, np.uint64(7), np.concatenate([h[:1], h[:-1]]))
+        two = np.where(first, np.uint64(9), np.concatenate([before[:1], before[:-1]]))
         with np.errstate(over="ignore"):
             context = mix(before * np.uint64(0xC2B2AE3D27D4EB4F) + two * np.uint64(0x165667B19E3779F9))
         at = np.flatnonzero(context % np.uint64(ANCHORS) == 0)
-        ends = np.minimum(np.append(at[1:], len(h)), upto[owner[at]])
-        return cls(owner, np.cumsum(sizes) - sizes, np.maximum(h & np.uint64(0xFFFF), np.uint64(1)).astype(np.uint64), at, context[at].view(np.int64), np.minimum(ends - at, AHEAD))
+        behind = np.flatnonzero(last)[owner[at]] + 1
+        lengths = np.minimum(np.minimum(np.append(at[1:], len(h)), behind) - at, AHEAD) if len(at) else at
+        return cls(owner, starts, np.maximum(h & np.uint64(0xFFFF), np.uint64(1)), at, context[at].view(np.int64), lengths)
 
     def after(self) -> np.ndarray:
         """What follows each kept context: a column for each of AFTER; 16 bits a word, the first in the highest, 0 for none."""
