@@ -36,6 +36,7 @@ result. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -590,8 +591,8 @@ def _score(top, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _top:
             _top.clear()
-            _top[key] = dict(top.value)
-        counts = _top[key]
+            _top[key] = {w: math.log10(n + 1) for w, n in top.value}
+        logs = _top[key].get
         row, first = 0, TaskContext.get().partitionId() << 40
         for prices, told, batch in _with_prices(batches):
             texts = as_bytes(batch.column("text"))
@@ -608,14 +609,14 @@ def _score(top, key: str):
             bits = [[{"bit": b, "n": n} for b, n in zip(cell[a:z].tolist(), count[a:z].tolist(), strict=True)] for a, z in zip(cuts, cuts[1:], strict=False)]
             bits = pa.array(bits, pa.list_(pa.struct([("bit", pa.int32()), ("n", pa.int64())])))
             tokens, known, base, rare = [], [], [], []
-            for text in texts:
-                words = text.lower().split() if text else []
-                found = [counts.get(w) for w in words]
-                rest = Counter(w for w, c in zip(words, found, strict=True) if c is None)
+            for line in lines:
+                words = line.split(b" ") if line else []
+                found = list(map(logs, words))
+                missing = found.count(None)
                 tokens.append(len(words))
-                known.append(len(words) - rest.total())
-                base.append(float(np.log10(np.array([c + 1 for c in found if c is not None])).sum()))
-                rare.append(list(rest.items()))
+                known.append(len(words) - missing)
+                base.append(math.fsum(filter(None, found)))
+                rare.append(list(Counter(w for w, x in zip(words, found, strict=True) if x is None).items()) if missing else [])
             kind = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
             rare = pa.array([[{"word": w, "n": n} for w, n in r] for r in rare], kind)
             keys = pa.array(np.arange(first + row, first + row + len(texts)))
