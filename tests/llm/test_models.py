@@ -232,40 +232,6 @@ def test_licences(spark):
     assert licenses.scan_licences(df.limit(0)).collect() == []
 
 
-def test_licence_model_against_a_plain_version(spark):
-    """Words, hashed places, lengths, the regression and the templates, paragraph by paragraph."""
-    import numpy as np
-    from pyspark.ml.feature import HashingTF
-
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    scanner = licenses.fit(d)
-    assert 0.5 <= scanner.sure < 1
-    regression, tf = scanner.model.stages[-1], HashingTF(numFeatures=licenses.FEATURES)
-    weights, bias = regression.coefficientMatrix.toArray(), regression.interceptVector.toArray()
-    split = lambda t: [w for x in re.split(r"[^\w.+\-]+|_", t.lower()) if (w := re.sub(r"^[.\-]+|[.\-]+$", "", x))]
-    pairs = lambda w: [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-    distinct = lambda w: set(pairs(w) if len(w) > 1 else w)
-    want = {}
-    for r in d.collect():
-        for i, line in enumerate(r.text.split("\n")):
-            if not re.search(licenses.TELLING, line) and (r.doc_id % 25 or i > 3):
-                continue
-            words = split(line)
-            if not words:
-                continue
-            x = np.zeros(2 * licenses.FEATURES)
-            x[[tf.indexOf(w) for w in words]] = 1
-            x[[licenses.FEATURES + tf.indexOf(p) for p in pairs(words)]] = 1
-            z = weights @ (x / np.linalg.norm(x)) + bias
-            p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
-            best = max((p[k], f) for k, f in enumerate(scanner.families) if f != "unknown")
-            likest = max(len(distinct(split(t)) & distinct(words)) / len(distinct(split(t))) for f, t in licenses.templates() if f == best[1])
-            want[r.doc_id, i] = (best[1], round(best[0], 6), likest >= licenses.CONFIRM) if best[0] >= scanner.sure else None
-    got = {(r.doc_id, r.paragraph): (r.family, round(r.probability, 6), r.confirmed) for r in licenses.scan_licences(d, scanner).collect()}
-    assert sum(v is not None for v in want.values()) > 20
-    assert {k: v for k, v in got.items() if k in want} == {k: v for k, v in want.items() if v}
-
-
 def kneser_ney(texts, order=langid.ORDER):
     """(probability of a character behind a context, by plain dictionaries; the characters met), from prepared lines."""
     grams = [Counter() for _ in range(order + 1)]
