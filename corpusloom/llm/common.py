@@ -150,12 +150,22 @@ def _clean() -> None:
 atexit.register(_clean)
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A path of its own in the cluster's shared folder; it goes with drop_folder(), or when the driver's Python ends."""
+    folder = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
+    _folders[folder] = spark
+    return folder
+
+
+def drop_folder(folder: str) -> None:
+    _delete(folder)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """df, written once as Parquet in the cluster's shared folder and read again: it cuts the lineage and survives lost
     executors. The folder goes with forget(), or when the driver's Python ends."""
     spark = df.sparkSession
-    folder = f"{shared_folder(spark)}/corpusloom-{uuid.uuid4().hex}"
-    _folders[folder] = spark
+    folder = new_folder(spark)
     df.write.option("compression", "zstd").parquet(folder)
     out = spark.read.schema(df.schema).parquet(folder)
     out.saved_in = folder

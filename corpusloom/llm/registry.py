@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licenses, lm, packing, quality, simhash, substring, url_filter
+from . import chat, decontaminate, langid, licenses, lm, merkle, packing, quality, simhash, substring, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         substring.op8_substring_dedup,
         url_filter.op9_url_filters,
         quality.op10_quality_rules,
+        warc.op11_warc,
+        merkle.op12_merkle_manifest,
     )
 }
-SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL}
+SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL, "op11_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL}
