@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, langid, licenses, lm, merkle, packing, quality, simhash, substring, url_filter, warc
+from . import chat, decontaminate, langid, licenses, lm, merkle, packing, quality, search, simhash, substring, url_filter, warc
 
 QUERIES = {
     f.__name__: f
@@ -19,6 +19,7 @@ QUERIES = {
         quality.op10_quality_rules,
         warc.op11_warc,
         merkle.op12_merkle_manifest,
+        search.op13_ranked_search,
     )
 }
-SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL, "op11_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL}
+SQL = {"op6_benchmark_decontamination": decontaminate.SQL, "op7_chat_formatting": chat.SQL, "op9_url_filters": url_filter.SQL, "op11_warc": warc.SQL, "op12_merkle_manifest": merkle.SQL, "op13_ranked_search": search.SQL}
