@@ -4,7 +4,7 @@ A leaf is the SHA-256 of a row's fields, each with its length in front. In a tre
 hash of their digests (as hex text); a last node that is alone becomes the hash of its own. What remains is the subroot of
 the language, and the subroots, in the languages' order, give the root in the same way.
 
-Ranks come from one sort by ranges, and every tree is cut into aligned blocks of BLOCK leaves. A first round takes the
+Ranks come from one sort by ranges, and every tree is cut into aligned blocks of 2**LEVELS leaves. A first round takes the
 blocks' roots (which are the leaves of the next tier, again in blocks, and so on until a node is left), and a second one
 goes down again. In it each block runs Merkle traversal: a treehash stack for each level is advanced by the logarithmic
 schedule, so that the authentication path of the next leaf is there when its turn comes; besides the block's digests a
@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table, saved
 
-#: Levels of a block, and its leaves.
+#: Levels of a block; it has 2**LEVELS leaves.
 LEVELS = 10
-BLOCK = 1 << LEVELS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -111,9 +110,9 @@ def traverse(leaves: list[bytes], height: int):
             next_one.step()
 
 
-def height_of(n: int) -> int:
+def height_of(n: int, levels: int) -> int:
     """Levels between the leaves of a block and its root, in a tree of n nodes."""
-    return LEVELS if n > BLOCK else (n - 1).bit_length()
+    return levels if n > 1 << levels else (n - 1).bit_length()
 
 
 def encode(path: list[bytes | None], i: int) -> bytes:
@@ -142,44 +141,47 @@ def _hex(column: pa.ChunkedArray) -> list[bytes]:
     return [x.hex().encode() for x in column.to_pylist()]
 
 
-def _root(block: pa.Table) -> pa.Table:
-    block = block.sort_by("i")
-    n, i = block["n"][0].as_py(), block["i"][0].as_py()
-    root = treehash(_hex(block["node"]), height_of(n))
-    row = {"tree": block["tree"][:1], "n": pa.array([-(-n // BLOCK)], pa.int64()), "i": pa.array([i // BLOCK], pa.int64()), "node": pa.array([bytes.fromhex(root.decode())], pa.binary())}
-    return pa.table(row)
+def _root(levels: int):
+    def run(block: pa.Table) -> pa.Table:
+        block = block.sort_by("i")
+        n, i = block["n"][0].as_py(), block["i"][0].as_py()
+        root = treehash(_hex(block["node"]), height_of(n, levels))
+        row = {"n": pa.array([-(-n >> levels)], pa.int64()), "i": pa.array([i >> levels], pa.int64()), "node": pa.array([bytes.fromhex(root.decode())], pa.binary())}
+        return pa.table({"tree": block["tree"][:1]} | row)
+
+    return run
 
 
-def _paths(keep: list[str], extra: list[str]):
+def _paths(keep: list[str], extra: list[str], levels: int):
     def run(block: pa.Table, above: pa.Table) -> pa.Table:
         if not block.num_rows:
             return pa.table({k: block[k] for k in keep} | {"path": pa.array([], pa.binary())} | {k: above[k][:0] for k in extra})
         block, upper = block.sort_by("i"), above["path"][0].as_py()
-        leaves, height = _hex(block["node"]), height_of(block["n"][0].as_py())
+        leaves, height = _hex(block["node"]), height_of(block["n"][0].as_py(), levels)
         paths = [encode(path, i) + upper for i, path in enumerate(traverse(leaves, height))]
         return pa.table({k: block[k] for k in keep} | {"path": pa.array(paths, pa.binary())} | {k: pa.array([above[k][0].as_py()] * len(paths), above.schema.field(k).type) for k in extra})
 
     return run
 
 
-def authenticate(nodes: DataFrame, tops, keep: list[str]) -> DataFrame:
+def authenticate(nodes: DataFrame, tops, keep: list[str], levels: int) -> DataFrame:
     """Columns `keep`, path, and what `tops` adds, for nodes(tree, n, i, node, ...): node i of the n of a tree.
 
     tops: from the trees' roots (tree, n, i, node) to a row for each tree with column path (what comes above the tree) and others.
     """
-    most = nodes.agg(F.max("n")).first()[0] or 0
+    most, block = nodes.agg(F.max("n")).first()[0] or 0, F.shiftright("i", levels)
     tiers = [nodes]
     while most > 1:
-        blocks = tiers[-1].select("tree", "n", "i", "node", F.expr(f"i div {BLOCK}").alias("block"))
-        tiers.append(saved(blocks.groupBy("tree", "block").applyInArrow(_root, "tree long, n long, i long, node binary")))
-        most = -(-most // BLOCK)
+        blocks = tiers[-1].select("tree", "n", "i", "node", block.alias("block"))
+        tiers.append(saved(blocks.groupBy("tree", "block").applyInArrow(_root(levels), "tree long, n long, i long, node binary")))
+        most = -(-most >> levels)
     above = tops(tiers[-1])
     extra = [c for c in above.columns if c not in ("tree", "i", "path")]
     for k, tier in reversed(list(enumerate(tiers[:-1]))):
         names = keep if k == 0 else ["tree", "i"]
         kinds = [f"`{c}` {tier.schema[c].dataType.simpleString()}" for c in names] + ["path binary"] + [f"`{c}` {above.schema[c].dataType.simpleString()}" for c in extra]
-        blocks = tier.withColumn("block", F.expr(f"i div {BLOCK}")).groupBy("tree", "block")
-        above = blocks.cogroup(above.withColumnRenamed("i", "block").groupBy("tree", "block")).applyInArrow(_paths(names, extra), ", ".join(kinds))
+        blocks = tier.withColumn("block", block).groupBy("tree", "block")
+        above = blocks.cogroup(above.withColumnRenamed("i", "block").groupBy("tree", "block")).applyInArrow(_paths(names, extra, levels), ", ".join(kinds))
     if len(tiers) == 1:  # no tree has more than a node
         return nodes.join(above.drop("i"), "tree").select(*keep, "path", *extra)
     return above
@@ -205,7 +207,7 @@ def ranked(leaves: DataFrame) -> DataFrame:
     return saved(joined.withColumn("i", F.col("__at") + F.col("shift")).drop("__lang", "__of", "__part", "__at", "shift"))
 
 
-def manifest(leaves: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def manifest(leaves: DataFrame, keep: tuple[str, ...] = ("doc_id",), levels: int = LEVELS) -> DataFrame:
     """Columns `keep`, leaf, path, subroot and root for each row of leaves(lang, doc_id, leaf, ...)."""
     nodes = ranked(leaves)
 
@@ -215,10 +217,10 @@ def manifest(leaves: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFram
     def languages(tops: DataFrame) -> DataFrame:
         tops = saved(tops.select("tree", "n", "i", "node"))
         one = tops.select(F.lit(0).cast("long").alias("tree"), F.lit(tops.count()).cast("long").alias("n"), F.col("tree").alias("i"), "node")
-        paths = authenticate(one, root, ["i"])
+        paths = authenticate(one, root, ["i"], levels)
         return tops.select("tree", F.lit(0).cast("long").alias("i"), F.col("node").alias("subroot")).join(paths.withColumnRenamed("i", "tree"), "tree")
 
-    return authenticate(nodes.withColumn("node", F.col("leaf")), languages, [*keep, "leaf"])
+    return authenticate(nodes.withColumn("node", F.col("leaf")), languages, [*keep, "leaf"], levels)
 
 
 def _digest(batches):
@@ -234,13 +236,13 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([*columns, pa.array([a == b for a, b in zip(folded, texts["root"], strict=True)], pa.bool_())], list(names))
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """The manifest's proofs over documents, checked against rows some of which were tampered with."""
     fields = {k: F.col(k) for k in FIELDS}
     more = fields | {"n_chars": F.col("n_chars").cast("decimal(20,0)") + 1}
     hit = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
     leaves = docs.select("lang", "doc_id", leaf_of(*fields.values()).alias("leaf"), F.when(hit, leaf_of(*more.values())).alias("altered"))
-    found = manifest(leaves, ("doc_id", "altered"))
+    found = manifest(leaves, ("doc_id", "altered"), levels)
     return found.mapInArrow(_digest, "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean")
 
 

@@ -42,7 +42,8 @@ PIECE = 1 << 20
 READ_BYTES = 8 << 20
 #: Groups of equal payloads (about 50 bytes each) that are broadcast.
 BROADCAST_ROWS = 200_000
-LEVEL = 6
+#: Compression of normalised archives, and of the streams before, which go when they are normalised.
+LEVEL, RAW_LEVEL = 6, 1
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ARCHIVES = "archive string, records long, bytes long"
@@ -182,7 +183,7 @@ def _write(folder: str, most: int):
             for page_id, url, payload, revisit, last in zip(*columns, strict=True):
                 if out is None:
                     name, rows, size = f"{uuid.uuid4().hex}.warc.gz", 0, 0
-                    out = Output(fs, f"{path}/{name}")
+                    out = Output(fs, f"{path}/{name}", RAW_LEVEL)
                 data = record_of(page_id, url, payload, record_id(last) if revisit else None)
                 out.write(data)
                 rows, size = rows + 1, size + len(data)
@@ -321,10 +322,14 @@ def _read(folder: str, payloads: bool):
     return run
 
 
-def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
-    """RECORDS for the rows of an index, each read at its offset; stretches of READ_BYTES are dealt to tasks."""
+def read_records(index: DataFrame, folder: str, payloads: bool = True, tasks: int | None = None) -> DataFrame:
+    """RECORDS for the rows of an index, each read at its offset; stretches of READ_BYTES of an archive are dealt to tasks.
+
+    tasks: as many as there are stretches, unless given. Index rows are small, so Spark would join them all in one task.
+    """
     stretch = F.expr(f"offset div {READ_BYTES}")
-    dealt = index.select("archive", "offset", "length").repartition("archive", stretch).sortWithinPartitions("archive", "offset")
+    tasks = tasks or max(1, index.agg(F.count_distinct("archive", stretch)).first()[0])
+    dealt = index.select("archive", "offset", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(_read(folder, payloads), RECORDS)
 
 
@@ -346,7 +351,8 @@ def archive_pages(pages: DataFrame, least: int = 0, archive_bytes: int = ARCHIVE
 
 def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives, folder = archive_pages(read_table(spark, sf_dir, "pages"))
-    found = read_records(read_index(archives, folder), folder, payloads=False)
+    stretches = archives.agg(F.sum(F.expr(f"bytes div {READ_BYTES} + 1"))).first()[0]
+    found = read_records(read_index(archives, folder), folder, payloads=False, tasks=stretches)
     return found.mapInArrow(_pages, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 

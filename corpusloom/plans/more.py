@@ -12,13 +12,12 @@ from ..operators import tables as ops
 from ..streaming import ingest
 from .base import Tables, query
 from .curation import TASKS, tasks
-from .texts import KNOWN, NAMES, RATIO
+from .texts import KNOWN, NAMES, RATIO, known_names, names
 
 
-@query(f"WITH {NAMES} SELECT a.name AS a, b.name AS b, round(1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON left(a.name, 3) = left(b.name, 3) AND a.name < b.name")
+@query(f"WITH {NAMES} SELECT a.name AS a, b.name AS b, round(1.0::DOUBLE - levenshtein(a.name, b.name)::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS similarity FROM n a JOIN n b ON {RATIO.format(a='a.name', b='b.name')} > 60 AND a.name < b.name")
 def fn_lev_similarity(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("a")).distinct().withColumn("block", F.substring("a", 1, 3))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "block").where("a < b")
+    pairs = linkage.fuzzy(names(t), names(t), 60).toDF("a", "b", "score").where("a < b")
     return pairs.select("a", "b", F.round(tx.similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
@@ -34,20 +33,17 @@ def fn_lev_ratio_500(t: Tables) -> DataFrame:
 
 @query()
 def fn_wratio(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("name"))
-    return linkage.fuzzy(names, names, 60).select("name", "candidate", F.round(matching.sequence_ratio("name", "candidate"), 6).alias("ratio"))
+    return linkage.fuzzy(names(t), names(t), 60).select("name", "candidate", F.round(matching.sequence_ratio("name", "candidate"), 6).alias("ratio"))
 
 
 @query(f"WITH {NAMES}, s AS (SELECT a.name, b.name AS candidate, replace(a.name, ' ', '') AS x, replace(b.name, ' ', '') AS y FROM n a, n b WHERE {RATIO.format(a='a.name', b='b.name')} > 60) SELECT name, candidate, CAST(list_max(list_transform(range(1, length(x) + 1), lambda i: list_max(list_filter(range(0, length(x) - i + 2), lambda k: contains(y, substr(x, i, k)))))) AS INTEGER) AS run FROM s")
 def fn_longest_shared_run(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("name"))
-    return linkage.fuzzy(names, names, 60).select("name", "candidate", matching.longest_shared_run("name", "candidate").alias("run"))
+    return linkage.fuzzy(names(t), names(t), 60).select("name", "candidate", matching.longest_shared_run("name", "candidate").alias("run"))
 
 
-@query(f"WITH {NAMES} SELECT a.name AS a, b.name AS b, round(list_sum(list_transform(range(1, least(length(a.name), length(b.name)) + 1), lambda i: CASE WHEN a.name[i] = b.name[i] THEN 1 ELSE 0 END))::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS overlap FROM n a JOIN n b ON left(a.name, 3) = left(b.name, 3) AND a.name < b.name")
+@query(f"WITH {NAMES} SELECT a.name AS a, b.name AS b, round(list_sum(list_transform(range(1, least(length(a.name), length(b.name)) + 1), lambda i: CASE WHEN a.name[i] = b.name[i] THEN 1 ELSE 0 END))::DOUBLE / greatest(length(a.name), length(b.name)), 6) AS overlap FROM n a JOIN n b ON {RATIO.format(a='a.name', b='b.name')} > 60 AND a.name < b.name")
 def fn_position_overlap(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("a")).distinct().withColumn("block", F.substring("a", 1, 3))
-    pairs = names.join(names.withColumnRenamed("a", "b"), "block").where("a < b")
+    pairs = linkage.fuzzy(names(t), names(t), 60).toDF("a", "b", "score").where("a < b")
     return pairs.select("a", "b", F.round(tx.position_overlap(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
@@ -110,8 +106,7 @@ def raga_merge(t: Tables) -> DataFrame:
 
 @query(f"WITH {NAMES}, {KNOWN}, s AS (SELECT n.name, k.name AS candidate, {RATIO.format(a='n.name', b='k.name')} AS score FROM n, k) SELECT name, list(candidate ORDER BY score DESC, candidate) AS candidates, max(score) AS best FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS i FROM s WHERE score > 60) WHERE i <= 5 GROUP BY 1")
 def er_identity_candidates(t: Tables) -> DataFrame:
-    known = t.part.where("p_type = 'ECONOMY' and p_size < 20").select(F.col("p_name").alias("name"))
-    found = linkage.fuzzy(t.part.select(F.col("p_name").alias("name")), known, 60, 5)
+    found = linkage.fuzzy(names(t), known_names(t), 60, 5)
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "candidate"))), lambda x: x["candidate"])
     return found.groupBy("name").agg(ordered.alias("candidates"), F.max("score").alias("best"))
 

@@ -11,29 +11,25 @@ from ..operators import tables as ops
 from ..sources import readers
 from .base import Tables, query
 from .curation import TASKS, tasks
-from .texts import KNOWN, NAMES, RATIO
-
-
-def known_names(t: Tables) -> DataFrame:
-    return t.part.where("p_type = 'ECONOMY' and p_size < 20").select(F.col("p_name").alias("name"))
+from .texts import KNOWN, NAMES, RATIO, TITLE, known_names, names, title
 
 
 @query(f"WITH {NAMES}, {KNOWN}, s AS (SELECT n.name, k.name AS candidate, {RATIO.format(a='n.name', b='k.name')} AS score FROM n, k) SELECT name, candidate, score FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS i FROM s WHERE score > 50) WHERE i <= 5")
 def join_fuzzy_all(t: Tables) -> DataFrame:
-    return linkage.fuzzy(t.part.select(F.col("p_name").alias("name")), known_names(t), 50, 5)
+    return linkage.fuzzy(names(t), known_names(t), 50, 5)
 
 
 PLAIN, CLOSE = RATIO.format(a="a.title", b="b.title"), RATIO.format(a="replace(lower(a.title), ' ', '')", b="replace(lower(b.title), ' ', '')")
 
 
-@query(f"WITH x AS (SELECT DISTINCT p_name AS title, p_type AS owner FROM part), p AS (SELECT a.title AS a, a.owner AS owner_a, b.title AS b, b.owner AS owner_b, greatest({PLAIN}, {CLOSE}) AS score FROM x a JOIN x b ON a.title < b.title OR (a.title = b.title AND a.owner < b.owner)) SELECT *, CASE WHEN score > 90 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM p WHERE score >= CASE WHEN owner_a IS NOT DISTINCT FROM owner_b THEN 75 ELSE 85 END")
+@query(f"WITH x AS (SELECT DISTINCT {TITLE} AS title, source AS owner FROM documents WHERE text IS NOT NULL), p AS (SELECT a.title AS a, a.owner AS owner_a, b.title AS b, b.owner AS owner_b, greatest({PLAIN}, {CLOSE}) AS score FROM x a JOIN x b ON a.title < b.title OR (a.title = b.title AND a.owner < b.owner)) SELECT *, CASE WHEN score > 90 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM p WHERE score >= CASE WHEN owner_a IS NOT DISTINCT FROM owner_b THEN 75 ELSE 85 END")
 def dup_detect(t: Tables) -> DataFrame:
-    return linkage.detect_duplicates(t.part.select(F.col("p_name").alias("title"), F.col("p_type").alias("owner")))
+    return linkage.detect_duplicates(t.documents.select(title(F.col("text")).alias("title"), F.col("source").alias("owner")))
 
 
 @query(f"WITH {NAMES}, {KNOWN}, s AS (SELECT n.name, k.name AS id, {RATIO.format(a='n.name', b='k.name')} AS score, left(n.name, 3) = left(k.name, 3) AS same_owner FROM n, k) SELECT name, id, score, same_owner FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, id) AS i FROM s WHERE score > CASE WHEN same_owner THEN 75 ELSE 90 END) WHERE i = 1")
 def match_import(t: Tables) -> DataFrame:
-    pairs = linkage.fuzzy(t.part.select(F.col("p_name").alias("name")), known_names(t), 75)
+    pairs = linkage.fuzzy(names(t), known_names(t), 75)
     pairs = pairs.withColumn("same_owner", F.substring("name", 1, 3) == F.substring("candidate", 1, 3)).withColumnRenamed("candidate", "id")
     return linkage.import_match(pairs, "name")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -231,31 +231,41 @@ def fn_placeholder_raga(t: Tables) -> DataFrame:
 
 # --- linkage
 
-NAMES = "n AS (SELECT DISTINCT p_name AS name FROM part)"
+#: A document's title: its first three words, lower-cased. The reference names are those of documents with a label.
+TITLE = "lower(regexp_extract(left(text, 60), '^[ \\t\\r\\n]*([^ \\t\\r\\n]+([ \\t\\r\\n]+[^ \\t\\r\\n]+){0,2})', 1))"
+NAMES = f"n AS (SELECT DISTINCT {TITLE} AS name FROM documents WHERE text IS NOT NULL)"
+KNOWN = f"k AS (SELECT DISTINCT {TITLE} AS name FROM documents WHERE text IS NOT NULL AND doc_id IN (SELECT doc_id FROM labels))"
 RATIO = "CAST(trunc((1.0::DOUBLE - levenshtein({a}, {b})::DOUBLE / greatest(length({a}), length({b}))) * 100) AS INTEGER)"
 
 
-@query(f"WITH {NAMES} SELECT a.name, b.name AS candidate, {RATIO.format(a='a.name', b='b.name')} AS score FROM n a, n b WHERE {RATIO.format(a='a.name', b='b.name')} > 50")
-def fn_lev_ratio(t: Tables) -> DataFrame:
-    names = t.part.select(F.col("p_name").alias("name"))
-    return linkage.fuzzy(names, names, 50)
+def title(text: Column) -> Column:
+    return F.lower(F.regexp_extract(F.substring(text, 1, 60), r"^[ \t\r\n]*([^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){0,2})", 1))
+
+
+def names(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").select(title(F.col("text")).alias("name"))
 
 
-KNOWN = "k AS (SELECT DISTINCT p_name AS name FROM part WHERE p_type = 'ECONOMY' AND p_size < 20)"
+def known_names(t: Tables) -> DataFrame:
+    return t.documents.where("text is not null").join(t.labels.select("doc_id"), "doc_id", "left_semi").select(title(F.col("text")).alias("name"))
+
+
+@query(f"WITH {NAMES} SELECT a.name, b.name AS candidate, {RATIO.format(a='a.name', b='b.name')} AS score FROM n a, n b WHERE {RATIO.format(a='a.name', b='b.name')} > 50")
+def fn_lev_ratio(t: Tables) -> DataFrame:
+    return linkage.fuzzy(names(t), names(t), 50)
 
 
 @query(f"WITH {NAMES}, {KNOWN}, s AS (SELECT n.name, k.name AS candidate, {RATIO.format(a='n.name', b='k.name')} AS score FROM n, k WHERE n.name NOT IN (SELECT name FROM k)), r AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY score DESC, candidate) AS i FROM s WHERE score > 50), u AS (SELECT name, name AS candidate, 100 AS score FROM n WHERE name IN (SELECT name FROM k) UNION ALL SELECT name, candidate, score FROM r WHERE i <= 5) SELECT *, CASE WHEN score >= 90 THEN 'HIGH' WHEN score >= 70 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM u")
 def er_resolve(t: Tables) -> DataFrame:
-    known = t.part.where("p_type = 'ECONOMY' and p_size < 20").select(F.col("p_name").alias("name"))
-    return linkage.resolve(t.part.select(F.col("p_name").alias("name")), known)
+    return linkage.resolve(names(t), known_names(t))
 
 
-TITLES = "x AS (SELECT DISTINCT replace(lower(p_name), ' ', '') AS key, p_type AS owner FROM part WHERE length(replace(p_name, ' ', '')) >= 5)"
+TITLES = f"x AS (SELECT DISTINCT replace({TITLE}, ' ', '') AS key, source AS owner FROM documents WHERE length(replace({TITLE}, ' ', '')) >= 5)"
 
 
 @query(f"WITH {TITLES} SELECT a.key AS a, a.owner AS owner_a, b.key AS b, b.owner AS owner_b, {RATIO.format(a='a.key', b='b.key')} AS score, a.owner IS NOT DISTINCT FROM b.owner AS same_owner FROM x a JOIN x b ON left(a.key, 4) = left(b.key, 4) AND (a.key < b.key OR (a.key = b.key AND a.owner < b.owner)) WHERE {RATIO.format(a='a.key', b='b.key')} >= CASE WHEN a.owner IS NOT DISTINCT FROM b.owner THEN 75 ELSE 85 END")
 def dup_near_title(t: Tables) -> DataFrame:
-    return linkage.duplicates_by_prefix(t.part.select(F.col("p_name").alias("title"), F.col("p_type").alias("owner")), width=4)
+    return linkage.duplicates_by_prefix(t.documents.select(title(F.col("text")).alias("title"), F.col("source").alias("owner")), width=4)
 
 
 @query("SELECT replace(lower(p_name), ' ', '') AS key, count(*) AS titles, min(p_partkey) AS first_id FROM part GROUP BY 1 HAVING count(*) > 1")
@@ -272,16 +282,14 @@ def dup_by_metadata(t: Tables) -> DataFrame:
 
 @query(f"WITH {NAMES}, {KNOWN}, s AS (SELECT n.name, k.name AS id, {RATIO.format(a='n.name', b='k.name')} AS score, left(n.name, 3) = left(k.name, 3) AS same_owner FROM n, k), o AS (SELECT * FROM s WHERE score > CASE WHEN same_owner THEN 50 ELSE 60 END) SELECT name, id, score, same_owner FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY same_owner DESC, score DESC, id) AS i FROM (SELECT *, max(score) OVER (PARTITION BY name) AS top FROM o) WHERE score >= top - 5) WHERE i = 1")
 def match_best(t: Tables) -> DataFrame:
-    known = t.part.where("p_type = 'ECONOMY' and p_size < 20").select(F.col("p_name").alias("name"))
-    pairs = linkage.fuzzy(t.part.select(F.col("p_name").alias("name")), known, 50)
+    pairs = linkage.fuzzy(names(t), known_names(t), 50)
     pairs = pairs.withColumn("same_owner", F.substring("name", 1, 3) == F.substring("candidate", 1, 3)).withColumnRenamed("candidate", "id")
     return linkage.best_match(pairs, "name", floors=(50, 60))
 
 
 @query(f"WITH {NAMES}, {KNOWN} SELECT n.name, k.name AS candidate, round(0.5 * (1.0::DOUBLE - levenshtein(n.name, k.name)::DOUBLE / greatest(length(n.name), length(k.name))) + 0.3 * (CASE WHEN left(n.name, 1) = left(k.name, 1) THEN 1.0 ELSE 0.0 END + CASE WHEN right(n.name, 1) = right(k.name, 1) THEN 1.0 ELSE 0.0 END)::DOUBLE / 2.0 + 0.2 * 0.5, 6)::DOUBLE AS score FROM n JOIN k ON {RATIO.format(a='n.name', b='k.name')} > 60")
 def variant_match(t: Tables) -> DataFrame:
-    known = t.part.where("p_type = 'ECONOMY' and p_size < 20").select(F.col("p_name").alias("name"))
-    pairs = linkage.fuzzy(t.part.select(F.col("p_name").alias("name")), known, 60)
+    pairs = linkage.fuzzy(names(t), known_names(t), 60)
     same = lambda f: F.when(f("name") == f("candidate"), 1.0).otherwise(0.0)
     score = linkage.variant_score(tx.similarity(F.col("name"), F.col("candidate")), same(lambda c: F.substring(c, 1, 1)), same(lambda c: F.substring(c, -1, 1)), F.lit(0.5))
     return pairs.select("name", "candidate", F.round(score, 6).alias("score"))
