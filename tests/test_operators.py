@@ -145,3 +145,23 @@ def test_blocking_loses_no_pair_and_prunes(spark):
         want = {(r.name, r.candidate) for r in every.where(F.col("score") > least).collect()}
         found = {(r.name, r.candidate) for r in linkage.candidates(left, right, least).collect()}
         assert want <= found and len(found) < share * len(names) ** 2
+
+
+def test_few_pairs_of_common_letters_are_candidates(spark):
+    import random
+
+    pick = random.Random(5)
+    word = lambda: "".join(pick.choices("etaoinsrhldu", k=pick.randint(4, 8)))
+    names = sorted({f"{word()} {word()}" for _ in range(4000)})
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{c} string") for c in ("name", "candidate"))
+    for least, share in ((75, 0.002), (90, 0.0005)):
+        assert linkage.candidates(left, right, least).distinct().count() < share * len(names) ** 2
+
+
+def test_split_keys_lose_no_pair(spark):
+    names = [f"gopala {i % 40:02d}{'xyz'[i % 3]}" for i in range(120)] + ["g" * 150 + c for c in "abc"] + ["", "a", "b", "é"]
+    left, right = (spark.createDataFrame([(n,) for n in names], f"{c} string") for c in ("name", "candidate"))
+    some = {(r.name, r.candidate) for r in linkage.candidates(left, right, 70, heavy=7).collect()}
+    assert some == {(r.name, r.candidate) for r in linkage.candidates(left, right, 70).collect()}
+    every = left.join(right, F.length("name") > -F.length("candidate") - 1).where(tx.ratio(F.col("name"), F.col("candidate")) > 70)
+    assert {(r.name, r.candidate) for r in every.select("name", "candidate").collect()} <= some | {("", "")}
