@@ -183,7 +183,7 @@ def test_search_stops_early(spark):
     """Items meet fewer clusters than hold their terms, and a bisected order is better than none."""
     rng = np.random.default_rng(3)
     topics = [[f"t{t}w{i}" for i in range(40)] for t in range(16)]
-    rows = [(i, " ".join(rng.choice(topics[i % 16], 30)) + " common words here") for i in range(6000)]
+    rows = [(i, " ".join(rng.choice(topics[i % 16], 30)) + (" common words here" if i % 3 else "")) for i in range(6000)]  # 'common' has a weight, so each item has a bound everywhere
     items = [(t, " ".join(topics[t][:8]) + " common") for t in range(16)]
     trace = []
     got = search.search(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), 10, trace=trace)
