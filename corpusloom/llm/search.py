@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, least_hashed, read_table, saved, small_batches, steps
+from .common import as_bytes, least_hashed, mix, read_table, saved, small_batches, steps
 from .decontaminate import words_of
 
 K = 50
@@ -93,8 +93,14 @@ class Graph:
 
 
 def halved(places: np.ndarray, terms: np.ndarray, n: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each of n documents whether it goes right, and each term's documents on the left and on the right."""
-    right = np.arange(n) >= (n + 1) // 2
+    """For each of n documents whether it goes right, and each term's documents on the left and on the right.
+
+    The start puts documents with the same least hashed term together; an even mixture of like documents would have no better half.
+    """
+    least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, places, mix(terms.astype(np.uint64) + np.uint64(1)))
+    right = np.zeros(n, bool)
+    right[np.argsort(least, kind="stable")[(n + 1) // 2 :]] = True
     sizes = np.array([n - right.sum(), right.sum()], float)
     width = int(terms.max()) + 1 if len(terms) else 0
     total = np.bincount(terms, minlength=width)
