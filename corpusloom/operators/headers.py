@@ -91,28 +91,17 @@ INLINE_INDIC = {kind: rf"^\s*[{indic}]\d*\s*\.\s*(?=\S)" for kind, (_, indic) in
 INLINE_INDIC_SIGN = rf"(?m)^\s*[{''.join(indic for _, indic in LETTERS.values())}]\d*\s*\.\s*(?=\S)"
 
 
-def _first(line: Column, patterns: dict[str, str], value) -> Column:
-    return reduce(lambda out, x: F.when(line.rlike(x[1]), value(*x)).otherwise(out), reversed(patterns.items()), F.lit(None))
+def _rules() -> list[tuple[str, str, str, str]]:
+    """Label, pattern, what of the rest goes too, and for which texts (all, or those with labels before a line's own words)."""
+    plain, numbered = r"^[:\-– ]+", r"^[:\-)\].\s]*(?:\d+\s*)?"
+    languages = [(label, rf"(?iu)^{name}(?=$|:| -| –)", plain, "all") for name, label in LANGUAGES]
+    inside = [(k, p, numbered, gate) for some, gate in ((SECTIONS, "all"), (INLINE, "latin"), (INLINE_INDIC, "indic")) for k, p in some.items()]
+    return languages + inside
 
 
-def _label_and_rest(line: Column, patterns: dict[str, str]) -> Column:
-    """struct(label, rest), or null: the first kind whose pattern begins the line, and what follows without a number."""
-
-    def found(kind: str, pattern: str) -> Column:
-        rest = F.regexp_replace(F.trim(F.regexp_replace(line, pattern, "")), r"^[:\-)\].\s]+", "")
-        return F.struct(F.lit(kind).alias("label"), F.trim(F.regexp_replace(rest, r"^\d+\s*", "")).alias("rest"))
-
-    return _first(line, patterns, found)
-
-
-def language_header(line: Column) -> Column:
-    """struct(label, rest), or null."""
-    low, out = F.lower(line), F.lit(None)
-    for name, label in reversed(LANGUAGES):
-        fits = (low == name) | low.startswith(f"{name}:") | low.startswith(f"{name} -") | low.startswith(f"{name} –")
-        rest = F.regexp_replace(F.substring(line, F.lit(len(name) + 1), F.length(line)), r"^[:\-– ]+", "")
-        out = F.when(fits, F.struct(F.lit(label).alias("label"), rest.alias("rest"))).otherwise(out)
-    return out
+RULES = _rules()
+#: Whether any rule may fit: anchored once, so that a line of prose costs one look at its beginning.
+ANY = "^(?=" + "|".join(f"(?:{pattern})" for _, pattern, _, _ in RULES) + ")"
 
 
 def meaning_of(label: Column) -> Column:
@@ -125,12 +114,23 @@ def language_of_script(script: Column) -> Column:
     return reduce(lambda out, x: F.when(script == x[1], x[0]).otherwise(out), ((la, sc) for label, (la, sc) in MEANS.items() if label != "HINDI"), F.lit("en"))
 
 
+def header_of(line: Column, latin: Column, indic: Column) -> Column:
+    """struct(label, rest) of a line that is a header, or null. latin, indic: whether the text has labels before a line's own words.
+
+    The first rule that fits is looked up only for lines that some rule may fit.
+    """
+    rules = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "pattern", "strip", "gate"), r, strict=True)]) for r in RULES])
+    fits = lambda r: ((r["gate"] == "all") | ((r["gate"] == "latin") & latin) | ((r["gate"] == "indic") & indic)) & F.rlike(line, r["pattern"])
+    found = F.slice(F.filter(rules, fits), 1, 1)
+    made = F.transform(found, lambda r: F.struct(r["label"].alias("label"), F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, r["pattern"], F.lit(""))), r["strip"], F.lit(""))).alias("rest")))
+    return F.when(line.rlike(ANY), F.get(made, F.lit(0)))
+
+
 def labelled(docs: DataFrame) -> DataFrame:
     """doc_id, line_no, start, line, label (null but for headers) and rest: the line's words that belong to its section."""
     gates = docs.select("doc_id", F.col("text").rlike(INLINE_SIGN).alias("latin"), F.col("text").rlike(INLINE_INDIC_SIGN).alias("indic"))
     line = F.col("line")
-    head = F.coalesce(language_header(line), _label_and_rest(line, SECTIONS), F.when(F.col("latin"), _label_and_rest(line, INLINE)), F.when(F.col("indic"), _label_and_rest(line, INLINE_INDIC)))
-    df = lines(docs.select("doc_id", "text")).where("line <> ''").join(gates, "doc_id").withColumn("head", head)
+    df = lines(docs.select("doc_id", "text")).where("line <> ''").join(gates, "doc_id").withColumn("head", header_of(line, F.col("latin"), F.col("indic")))
     return df.select("doc_id", "line_no", "start", "line", F.col("head.label").alias("label"), F.when(F.col("head").isNull(), line).otherwise(F.col("head.rest")).alias("rest"))
 
 
@@ -186,8 +186,9 @@ def aligned_variants(variants: DataFrame, canon: DataFrame) -> DataFrame:
 
     variants: doc_id, variant_no, section_no, kind, text; canon: doc_id, section_no, kind. The k-th of a variant's leading OTHER
     sections takes the kind of the k-th canonical section; neighbours of one kind become one there; then the n-th of a kind
-    meets the n-th of that kind, and sections without a place go.
+    meets the n-th of that kind, and sections without a place go. start and end, where given, are kept.
     """
+    spans = [c for c in ("start", "end") if c in variants.columns]
     own = ["doc_id", "variant_no"]
     order = Window.partitionBy(*own).orderBy("section_no")
     ranked = canon.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("section_no"))).withColumn("occurrence", F.row_number().over(Window.partitionBy("doc_id", "kind").orderBy("section_no")))
@@ -197,6 +198,6 @@ def aligned_variants(variants: DataFrame, canon: DataFrame) -> DataFrame:
     df = df.withColumn("run", F.sum(change.cast("int")).over(order)).withColumn("many", F.count("promoted").over(Window.partitionBy(*own)))
     df = df.withColumn("part", F.when(F.col("run") <= F.col("many"), 0).otherwise(F.col("section_no")))
     rows = F.array_sort(F.collect_list(F.struct("section_no", "text")))
-    joined = df.groupBy(*own, "run", "part", "kind").agg(rows.alias("rows"))
+    joined = df.groupBy(*own, "run", "part", "kind").agg(rows.alias("rows"), *[(F.min if c == "start" else F.max)(c).alias(c) for c in spans])
     joined = joined.withColumn("occurrence", F.row_number().over(Window.partitionBy(*own, "kind").orderBy("run", "part")))
-    return joined.join(ranked, ["doc_id", "kind", "occurrence"]).select(*own, "section_no", "kind", F.array_join("rows.text", "\n").alias("text"))
+    return joined.join(ranked, ["doc_id", "kind", "occurrence"]).select(*own, "section_no", "kind", F.array_join("rows.text", "\n").alias("text"), *spans)

@@ -26,15 +26,17 @@ def demoted(sections: DataFrame, kind: str = "MADHYAMA_KALA") -> DataFrame:
 
 
 def merged_twins(sections: DataFrame, least: float = 0.9) -> DataFrame:
-    """Neighbours of one kind whose texts agree place by place are taken in pairs; of each pair the longer text stays."""
+    """Neighbours of one kind whose texts agree place by place are taken in pairs; of each pair the longer text stays.
+    start and end, where given, are kept."""
+    spans = [c for c in ("start", "end") if c in sections.columns]
     w = Window.partitionBy("doc_id").orderBy("section_no")
     twin = (F.lag("kind").over(w) == F.col("kind")) & (tx.position_overlap(F.lag("text").over(w), F.col("text")) > least)
     df = sections.withColumn("run", F.sum(F.when(F.coalesce(twin, F.lit(False)), 0).otherwise(1)).over(w))
     df = df.withColumn("pair", F.floor((F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("section_no")) - 1) / 2))
-    best = F.max_by(F.struct("section_no", "kind", "text"), F.struct(F.length("text"), -F.col("section_no")))
+    best = F.max_by(F.struct("section_no", "kind", "text", *spans), F.struct(F.length("text"), -F.col("section_no")))
     kept = df.groupBy("doc_id", "run", "pair").agg(best.alias("b"), F.min("section_no").alias("at"))
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
-    return kept.select("doc_id", place.alias("section_no"), "b.kind", "b.text")
+    return kept.select("doc_id", place.alias("section_no"), "b.kind", "b.text", *[f"b.{c}" for c in spans])
 
 
 def raga_markers(docs: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import curation, more, relational, rest, sections, strings, texts  # noqa: F401  they register their queries
+from . import curation, more, relational, rest, sections, strings, texts, works  # noqa: F401  they register their queries
 from .base import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
