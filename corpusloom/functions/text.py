@@ -159,8 +159,8 @@ def ratio(a: Column, b: Column) -> Column:
 
 def position_overlap(a: Column, b: Column) -> Column:
     """Share of places at which both strings have the same character, over the longer length."""
-    n = F.least(F.length(a), F.length(b))
-    same = F.size(F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: (i <= n) & (F.substring(a, i, F.lit(1)) == F.substring(b, i, F.lit(1)))))
+    letters = [F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)) for c in (a, b)]
+    same = F.coalesce(F.size(F.filter(F.zip_with(*letters, lambda x, y: x == y), lambda x: x)), F.lit(0))
     return F.when(F.greatest(F.length(a), F.length(b)) == 0, 1.0).otherwise(same / F.greatest(F.length(a), F.length(b)))
 
 

@@ -30,7 +30,7 @@ def merged_twins(sections: DataFrame, least: float = 0.9) -> DataFrame:
     start and end, where given, are kept."""
     spans = [c for c in ("start", "end") if c in sections.columns]
     w = Window.partitionBy("doc_id").orderBy("section_no")
-    twin = (F.lag("kind").over(w) == F.col("kind")) & (tx.position_overlap(F.lag("text").over(w), F.col("text")) > least)
+    twin = F.coalesce(F.lag("kind").over(w) == F.col("kind"), F.lit(False)) & (tx.position_overlap(F.lag("text").over(w), F.col("text")) > least)
     df = sections.withColumn("run", F.sum(F.when(F.coalesce(twin, F.lit(False)), 0).otherwise(1)).over(w))
     df = df.withColumn("pair", F.floor((F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("section_no")) - 1) / 2))
     best = F.max_by(F.struct("section_no", "kind", "text", *spans), F.struct(F.length("text"), -F.col("section_no")))
