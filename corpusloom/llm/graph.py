@@ -17,7 +17,8 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round points every node at the smallest node among its neighbours (large star, then small star), so paths
     shorten by half or better. Neighbourhoods are only ever reduced to their minimum, which Spark combines before the
-    shuffle, and joined back; no group is gathered, and no edge comes to the driver.
+    shuffle, and joined back; no group is gathered, and no edge comes to the driver: the joins are merges, however small Spark
+    takes a side to be, as a table of longs is many times its Parquet files once the driver has it as a hash relation.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
     edges = saved(edges)
@@ -25,9 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.join(least.hint("merge"), "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, edges = edges, saved(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         last, mark = mark, _mark(edges)
         forget(old)

@@ -13,7 +13,7 @@ fingerprints at distance 1, 2 or 3 share a point where one of them may be that o
 the same components come out exactly, from a number of rows that is a multiple of the fingerprints.
 
 Cases: a null text, or one with no word, has fingerprint zero and links like any other; fewer than 3 words are one
-shingle. Repeated rows get equal rows. A null doc_id takes part, but never names a component (unless all are null). An
+shingle. All joins are merges: the tables grow with the corpus, so none may go to the driver for a broadcast. Repeated rows get equal rows. A null doc_id takes part, but never names a component (unless all are null). An
 empty table gives an empty result. Other columns are ignored.
 """
 
@@ -198,13 +198,13 @@ def links(distinct: DataFrame, count: int, most: int = MOST) -> DataFrame:
         own = own.when(F.col("part") == i, F.col("fp").bitwiseAND(F.lit(_mask(bits))))
     index = distinct.select(F.explode(F.array(*[F.lit(i) for i in range(len(parts))])).alias("part"), "fp").select("part", own.alias("key"), F.col("fp").alias("other"))
     sizes = index.groupBy("part", "key").agg(F.count("*").alias("size"))
-    live = saved(probes.join(sizes, ["part", "key"]).where("size > 1 or flips > 0"))
-    close = live.where(F.col("size") <= most).join(index, ["part", "key"]).where("fp < other").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
+    live = saved(probes.join(sizes.hint("merge"), ["part", "key"]).where("size > 1 or flips > 0"))
+    close = live.where(F.col("size") <= most).join(index.hint("merge"), ["part", "key"]).where("fp < other").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
     crowded = live.where(F.col("size") > most).select("fp").distinct()
     dealt = crowded.select("fp", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk")).repartition("fp", "chunk")
     points = dealt.mapInArrow(_points, "point long, fp long, centre boolean")
     centres = points.where("centre").groupBy("point").agg(F.min("fp").alias("other"))
-    starred = points.select("point", "fp").join(centres, "point").where("fp != other")
+    starred = points.select("point", "fp").join(centres.hint("merge"), "point").where("fp != other")
     return close.select(F.col("fp").alias("a"), F.col("other").alias("b")).unionByName(starred.select(F.col("fp").alias("a"), F.col("other").alias("b"))).distinct()
 
 
@@ -214,10 +214,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     firsts = saved(marked.groupBy("fp").agg(F.min("doc_id").alias("first")))
     distinct = firsts.select("fp")
     nodes = components(links(distinct, distinct.count()))
-    grouped = firsts.join(nodes.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    grouped = firsts.join(nodes.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     heads = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = saved(grouped.join(heads, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = saved(grouped.join(heads.hint("merge"), "root").select("fp", "component_id"))
+    return marked.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,4 +229,4 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of docs, in all their columns, that are the first of their group (all rows of that doc_id). Rows with a null
     doc_id stay: they name no group."""
     dropped = near_duplicates(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped.hint("merge"), "doc_id", "left_anti").select(docs.columns)

@@ -123,3 +123,15 @@ def test_op4_on_the_table(spark):
     prints = {i: brute.fingerprint(t) for i, t in zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), strict=True)}
     groups = brute.grouped(prints)
     assert by_id(simhash.op4_simhash_near_dedup(spark, "/root/testdata/sf0.001"), "fingerprint", "component_id") == {i: (f"{p:016x}", groups[i]) for i, p in prints.items()}
+
+
+def test_op4_broadcasts_no_table(spark, docs, monkeypatch):
+    """However small its tables look, none goes to the driver: they grow with the corpus."""
+    from corpusloom.llm import graph
+
+    plans = []
+    plan_of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for module in (graph, simhash):
+        monkeypatch.setattr(module, "saved", lambda df, keep=module.saved: (plans.append(plan_of(df)), keep(df))[1])
+    plans.append(plan_of(simhash.drop_near_duplicates(docs)))
+    assert len(plans) > 5 and not [p for p in plans if "Broadcast" in p]
