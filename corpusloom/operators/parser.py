@@ -109,7 +109,7 @@ def _sections(df: DataFrame) -> DataFrame:
 
 def _by_script(canon: DataFrame) -> DataFrame:
     """Each script's lines of the canonical sections, as variants."""
-    df = canon.select("doc_id", "section_no", "kind", "start", "end", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("script", tx.main_script(F.col("line"))).where("script is not null")
+    df = canon.select("doc_id", "section_no", "kind", "start", "end", F.posexplode(F.split("text", "\n")).alias("at", "line")).where(tx.has_script(F.col("line"))).withColumn("script", tx.main_script(F.col("line")))
     rows = F.array_sort(F.collect_list(F.struct("at", "line")))
     made = df.groupBy("doc_id", "script", "section_no", "kind", "start", "end").agg(rows.alias("rows"))
     variant = F.struct(F.lit(1).alias("part"), F.lit(0).cast("long").alias("k"), language_of_script(F.col("script")).alias("language"), F.col("script"))

@@ -59,3 +59,14 @@ def test_cut_to_bytes(spark, texts):
 
     want = [t.encode()[:7].decode(errors="ignore") for t in texts]
     assert values(spark, texts, lambda c: cut_to_bytes(c, 7)) == want
+
+
+def test_main_script_counts_each_script_once(spark):
+    from corpusloom.operators import structure
+
+    assert values(spark, ["abc தமி x", "a த", "पक अத 12", None, "", "é-ß"], tx.main_script) == ["latin", "tamil", "devanagari", None, None, "latin"]
+    docs = spark.createDataFrame([(1, "a\nb\nத\n1")], "doc_id int, text string")
+    for df in (docs.select(tx.main_script(F.col("text"))), structure.by_script(docs).drop("text")):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= len(tx.SCRIPTS) + 2 and "collect_list" not in plan
+    assert sorted(tuple(r) for r in structure.by_script(docs).collect()) == [(1, "latin", 2, "a\nb"), (1, "tamil", 1, "த")]
