@@ -35,10 +35,14 @@ def title_case(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else t.title())
 
 
+def start_of(c: Column, n: int = 500) -> Column:
+    """The first n characters, letters and blanks only."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"[^\p{L}\s]", ""), 1, n)
+
+
 def ratio_of_starts(a: Column, b: Column, n: int = 500) -> Column:
-    """Similarity in hundredths of the first n characters of both, letters and blanks only."""
-    bare = lambda c: F.substring(F.regexp_replace(F.regexp_replace(F.lower(c), r"\s+", " "), r"[^\p{L}\s]", ""), 1, n)
-    return (similarity(bare(a), bare(b)) * 100).cast("int")
+    """Similarity in hundredths of the starts of both."""
+    return (similarity(start_of(a, n), start_of(b, n)) * 100).cast("int")
 
 
 def cut_to_bytes(c: Column, most: int) -> Column:

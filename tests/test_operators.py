@@ -183,3 +183,19 @@ def test_snapshot_and_pairs_join_nothing(spark, tmp_path):
         df = QUERIES[name](spark, str(tmp_path))
         assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, duck.execute(SQL[name]).fetchall()))
         assert "Join" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_starts_are_cut_before_the_window(spark):
+    """Whole texts don't go through the windows, and pairs are compared in tasks of their own; the scores are as they were."""
+    from pyspark.sql import Window
+
+    from corpusloom.functions import matching
+    from corpusloom.plans.registry import QUERIES
+
+    df = QUERIES["fn_lev_ratio_500"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("RepartitionByExpression") < plan.index("Window") and "regexp_replace" not in plan[: plan.index("Window")]
+    w = Window.partitionBy("lang", "source").orderBy("doc_id")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", F.lag("doc_id").over(w).alias("before"), F.lag("text").over(w).alias("other")).where("before is not null")
+    want = docs.select("doc_id", "before", matching.ratio_of_starts(F.col("text"), F.col("other")).alias("score"))
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, want.collect()))
