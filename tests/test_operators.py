@@ -1,5 +1,6 @@
 """Change sets, linkage, sources, structure and streams on small tables."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
@@ -63,6 +64,23 @@ def test_html():
     assert html.extract(None) == (None, "")
 
 
+def test_pages_are_read_in_pieces():
+    rows = [(k, "http://h.org/p", f"<title>T{k}</title><body><p>One {k}" + " word" * 20_000) for k in range(60)] + [(60, None, None), (61, None, "<p>x")]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], ["page_id", "url", "html"])
+    made = list(html._extracted(None)(iter([batch, batch.slice(7, 3), batch.slice(0, 0)])))
+    assert max(sum(len(x) for x in m.column("text").to_pylist()) for m in made) <= html.PIECE_BYTES and len(made) > 5
+    expected = [(k, *html.extract(h, u)) for k, u, h in rows]
+    assert [tuple(r.values()) for m in made for r in m.to_pylist()] == expected + expected[7:10]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.unset(key)
+    df = spark.range(3).selectExpr("cast(id as int) page_id", "'http://h.org/p' url", "'<p>one' html")
+    assert [tuple(r) for r in html.extract_pages(df).orderBy("page_id").collect()] == [(k, None, "one") for k in range(3)]
+    assert int(spark.conf.get(key)) <= html.BATCH_ROWS
+
+
 def test_sections(spark):
     text = "intro\npallavi\nline one\nline two\nAnupallavi: first\ncharanam\nx\ncharanam\ny"
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id long, text string")
