@@ -117,13 +117,14 @@ def language_of_script(script: Column) -> Column:
 def header_of(line: Column, latin: Column, indic: Column) -> Column:
     """struct(label, rest) of a line that is a header, or null. latin, indic: whether the text has labels before a line's own words.
 
-    The first rule that fits is looked up only for lines that some rule may fit.
+    The rules are tried in turn, and only for lines that some rule may fit. Their patterns are literals, which a task compiles once.
     """
-    rules = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("label", "pattern", "strip", "gate"), r, strict=True)]) for r in RULES])
-    fits = lambda r: ((r["gate"] == "all") | ((r["gate"] == "latin") & latin) | ((r["gate"] == "indic") & indic)) & F.rlike(line, r["pattern"])
-    found = F.slice(F.filter(rules, fits), 1, 1)
-    made = F.transform(found, lambda r: F.struct(r["label"].alias("label"), F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, r["pattern"], F.lit(""))), r["strip"], F.lit(""))).alias("rest")))
-    return F.when(line.rlike(ANY), F.get(made, F.lit(0)))
+    gates = {"all": F.lit(True), "latin": latin, "indic": indic}
+    found = F
+    for label, pattern, strip, gate in RULES:
+        rest = F.trim(F.regexp_replace(F.trim(F.regexp_replace(line, pattern, "")), strip, ""))
+        found = found.when(gates[gate] & line.rlike(pattern), F.struct(F.lit(label).alias("label"), rest.alias("rest")))
+    return F.when(line.rlike(ANY), found)
 
 
 def labelled(docs: DataFrame) -> DataFrame:

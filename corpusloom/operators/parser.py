@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..saving import saved
 from .headers import INLINE_INDIC_SIGN, INLINE_SIGN, MEANS, NOTES, aligned_variants, header_of, language_of_script, meaning_of
 from .layout import merged_twins
 
@@ -50,9 +51,11 @@ def _in(column: str, values) -> Column:
 def read_lines(docs: DataFrame) -> DataFrame:
     """The filled lines of docs(doc_id, text): line_no, start, end, line, boundary and its length, label and rest, size of the text."""
     text = F.replace("text", F.lit("\\n"), F.lit("\n"))
-    df = docs.select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("size"), F.col("text").rlike(INLINE_SIGN).alias("latin"), F.col("text").rlike(INLINE_INDIC_SIGN).alias("indic"), F.posexplode(F.split("text", "\n")).alias("line_no", "raw"))
-    before = F.sum(F.length("raw") + 1).over(_over(upto=True)) - F.length("raw") - 1
-    bare = F.regexp_replace("raw", r"(?U)\s+$", "")
+    # what holds for the whole text is told once a text, before there are lines
+    df = docs.select("doc_id", text.alias("text")).select("doc_id", F.length("text").alias("size"), F.col("text").rlike(INLINE_SIGN).alias("latin"), F.col("text").rlike(INLINE_INDIC_SIGN).alias("indic"), F.split("text", "\n").alias("raws"))
+    df = df.select("doc_id", "size", "latin", "indic", F.posexplode("raws").alias("line_no", "raw"))
+    df = df.withColumn("before", F.sum(F.length("raw") + 1).over(_over(upto=True)) - F.length("raw") - 1)
+    before, bare = F.col("before"), F.regexp_replace("raw", r"(?U)\s+$", "")
     df = df.withColumn("start", before + F.length("raw") - F.length(F.regexp_replace("raw", r"(?U)^\s+", ""))).withColumn("end", before + F.length(bare))
     df = df.withColumn("line", F.regexp_replace(F.regexp_replace(bare, r"(?U)^\s+", ""), "[₀-₉]", "")).where((F.col("line") != "") & ~F.col("line").rlike("(?iu)" + "|".join((*FRAME_WORDS, *FRAME_LINES))))
     boundary, width = F.lit(None).cast("string"), F.lit(0)
@@ -132,10 +135,11 @@ def parse(docs: DataFrame) -> DataFrame:
     Places count characters from 0, in the text with its written-out line ends (a backslash and an n) made real. Sections end at the
     first notes, or at the second language. A text without headers is one section OTHER. Variants come from language headers,
     else from the scripts of the sections' lines; behind the notes only Indic ones of new scripts do. A variant's sections take
-    the places of the canonical ones of their kind. Null and blank texts have empty arrays.
+    the places of the canonical ones of their kind. Null and blank texts have empty arrays. Lines and sections are each made once
+    and saved, as boundaries, sections and variants are all read from them.
     """
-    read = read_lines(docs)
-    made = _sections(_placed(read))
+    read = saved(read_lines(docs))
+    made = saved(_sections(_placed(read)))
     canon = made.where("variant_no.part <= 0").drop("variant_no")
     told = made.where("variant_no.part > 0")
     named = told.where("variant_no.part = 1").select("doc_id").distinct()

@@ -80,3 +80,12 @@ def test_prose_behind_sung_lines_is_cut(spark):
     text = "pallavi\nmadhura\n\ncharanam\nsundara\n\nTamil\nபல்லவி\nமது4ர\n\nசரணம்\nஸுந்த3ர\nஇது ஒரு நீண்ட உரை விளக்கம்\nமேலும் ஒரு நீண்ட உரை விளக்கம்"
     row = parser.parse(spark.createDataFrame([(1, text)], "doc_id int, text string")).first()
     assert [s.text for s in row.variants[0].sections] == ["மது4ர", "ஸுந்த3ர"]
+
+
+def test_whole_texts_stay_below_the_lines(spark):
+    """What a text's signs cost must not be paid for each of its lines."""
+    df = spark.createDataFrame([(1, "P\nC one")], "doc_id int, text string")
+    plan = parser.read_lines(df)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate", 1)
+    assert "(?m)" not in above and below.count("(?m)") == 2
+    assert "text#" not in above
