@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..saving import saved
+
 # Lines that open a part by their exact words, patterns of those that open a section, and what a page's frame holds.
 PARTS = ("English", "Tamil", "Meaning")
 _TAIL = r"[.:\t\n\f\r \-]*\z"
@@ -43,9 +45,9 @@ def headed_sections(docs: DataFrame) -> DataFrame:
     """
     line = lambda x: F.btrim(x, F.lit(" \t\r"))
     lines = F.filter(F.transform(F.split("text", "\n"), line), lambda x: (x != "") & ~x.rlike(FRAME))
-    df = docs.where("doc_id is not null and text is not null").select("doc_id", lines.alias("lines")).where(F.size("lines") > 0)
-    told = F.exists("lines", lambda x: label_of(x).isNotNull())
-    df = df.withColumn("told", told)
+    # saved, as a plan that reads the lines several times would cut and look through the texts as often
+    df = saved(docs.where("doc_id is not null and text is not null").select("doc_id", lines.alias("lines"))).where(F.size("lines") > 0)
+    df = df.withColumn("told", F.exists("lines", lambda x: label_of(x).isNotNull()))
     other = lambda d: d.select("doc_id", F.lit(1).alias("section_no"), F.lit("OTHER").alias("kind"), F.array_join("lines", "\n").alias("text"))
     upto = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     rows = df.where("told").select("doc_id", F.posexplode("lines").alias("line_no", "line")).withColumn("label", label_of(F.col("line")))
