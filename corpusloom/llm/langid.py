@@ -29,6 +29,8 @@ from .common import as_bytes, mix, read_table, small_batches, steps, within_byte
 ORDER, ROWS, BLANK = 4, 1500, 32
 #: Bytes of a language's sample: texts beyond it are left out whole.
 BYTES = 32 << 20
+#: Bytes of texts scored at once; meanwhile each has arrays of many times its size (hashes, places, bits by language).
+PREDICT_BYTES = 1 << 18
 #: Every so many sampled rows one is left out of the counts, for the limits.
 LEFT_OUT = 8
 #: Bits per character allowed beyond the worst left-out row, and beyond that for a text of one character (falls with the root).
@@ -212,7 +214,7 @@ def labelled_sample(docs: DataFrame, allowed: Column, rows: int = ROWS, most: in
 
 def _predict(models):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in steps(batches, most=1 << 20):
+        for batch in steps(batches, most=PREDICT_BYTES):
             langs, scores = models.value.predict(as_bytes(batch.column("text")))
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])

@@ -38,7 +38,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_bytes, mix, read_table, rolled, saved, small_batches, steps, word_hashes
+from .common import as_bytes, mix, read_table, release, rolled, saved, small_batches, steps, word_hashes
 
 WIDTH, ANCHOR = 20, 8
 #: Documents of a shard: one task holds their texts at a time.
@@ -198,6 +198,7 @@ def _meet(several: bool):
             last = [x[-1:] for x in firsts]
         if last is not None and before:
             yield found(last, last, True)
+        release()
 
     return run
 
@@ -229,6 +230,8 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict[str, np.nd
                 held.append([part.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in names])
     if now is not None:
         yield out()
+    del held, texts
+    release()
 
 
 def _windows(width: int):

@@ -2,9 +2,12 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from conftest import ROWS
@@ -283,3 +286,16 @@ def test_language_models_against_plain_kneser_ney():
         assert sizes[0] == len(line) - langid.ORDER + 1
         for j, la in enumerate(model.langs):
             assert bits[0][j] * sizes[0] == pytest.approx(plain[la][0](line, letters), rel=1e-4)
+
+
+def test_scoring_holds_little_at_once():
+    models = langid.fit([("en", b"the cat sat on the mat and ran"), ("fr", "le chat est sur la table à côté".encode()), ("de", b"die katze sitzt auf dem tisch")] * 20)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array(["the cat sat on a table and " * 151] * 1024)], ["doc_id", "text"])
+    seen = []
+    tracemalloc.start()
+    for part in langid._predict(SimpleNamespace(value=models))(iter([batch])):
+        seen += part.column("lang_pred").to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(set(seen)) == 1 and len(seen) == 1024 and seen[:1] == models.predict([batch.column("text")[0].as_py().encode()])[0]
+    assert peak < 64 << 20, peak
