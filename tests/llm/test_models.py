@@ -176,6 +176,50 @@ def test_lm_beats_the_unigram_on_texts_it_did_not_learn(spark):
     assert got.score.sum() > got.base_score.sum()
 
 
+@pytest.fixture(scope="module")
+def four_megabytes():
+    import random
+
+    pick = random.Random(5)
+    words = ["".join(pick.choices("abcdefghijklmnop", k=pick.randint(1, 9))) for _ in range(1000)]
+    texts = [" ".join(pick.choices(words, k=650)) for _ in range(1000)]
+    columns = [[7] * 1000, texts, [i % 3 > 0 for i in range(1000)], [i % 3 > 0 for i in range(1000)]]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["block", "text", "learned", "counted"])
+
+
+@pytest.mark.parametrize("step", [lm._block_runs, lm._block_contexts])
+def test_lm_counting_holds_little_at_once(four_megabytes, step):
+    tracemalloc.start()
+    assert sum(x.num_rows for x in step(iter([four_megabytes])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 96 << 20, peak
+
+
+@pytest.mark.parametrize("held", [lm.KEPT, 40_000])
+def test_lm_counts_are_whole_however_little_is_held(four_megabytes, monkeypatch, held):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "KEPT", held)
+    monkeypatch.setattr(lm, "ADDED", held // 2)
+    monkeypatch.setattr(lm, "CHUNK", 30_000)
+    lines = [lm.plain(t.encode()) for t in four_megabytes.column("text").to_pylist()]
+    learned = np.array(four_megabytes.column("learned").to_pylist())
+    runs, sizes = lm.runs_of(lines)
+    want = np.unique(runs, return_inverse=True)
+    parts = pa.Table.from_batches(lm._block_runs(iter([four_megabytes])))
+    got, n = lm.summed(parts["run"].to_numpy().astype(np.uint64), parts["n"].to_numpy())
+    assert (got == want[0]).all() and (n == np.bincount(want[1], weights=np.repeat(learned, sizes))).all()
+    assert (len(parts) > len(got)) == (held == 40_000)
+
+    words = lm.Words.of(lines)
+    want = np.unique(words.contexts, return_inverse=True)
+    parts = pa.Table.from_batches(lm._block_contexts(iter([four_megabytes])))
+    assert (parts["context"].to_numpy() == want[0]).all()
+    for name, some in (("n", learned), ("u", ~learned)):
+        assert (parts[name].to_numpy() == np.bincount(want[1], weights=some[words.owner[words.anchors]])).all()
+
+
 def test_lm_cases(spark, docs, empty, repeated, unnamed):
     assert lm.score_texts(empty, ~lm._remainder()).collect() == []
     got = lm.score_texts(docs, ~lm._remainder()).collect()
